@@ -5,15 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm import html_text, mixing, warc
-from quillgraph.llm.common import table
+from quillgraph.llm import html_text, language_id, mixing, quality_fm, warc
+from quillgraph.llm.common import crc_mod, table
 
 
 def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = quality_fm.train(docs, table(spark, folder, "labels"), ~held_out)
+    return quality_fm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs, ~held_out)
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), keep_text=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -25,6 +41,8 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
     "op7_source_mix": op7_source_mix,
     "op9_warc": op9_warc,
 }
