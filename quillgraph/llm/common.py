@@ -127,3 +127,87 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to; it does so when the driver's JVM collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+SEGMENT = 1 << 21
+_ODD = 0x9E3779B97F4A7C15 | 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int, odd: int = _ODD) -> tuple[np.ndarray, np.ndarray]:
+    """odd ** i and its inverse, modulo 2 ** 64, for i < n."""
+    got = _powers.get(odd)
+    if got is None or len(got[0]) < n:
+        size = max(n, 1 << 16)
+        got = _powers[odd] = tuple(np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, x, np.uint64))]) for x in (odd, pow(odd, -1, 1 << 64)))
+    return got
+
+
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
+    x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and the number of words of each text.
+
+    A word's hash is a polynomial of its bytes, taken from prefix sums over the joined texts; segments cut at white space bound the tables.
+    """
+    buf = b"\n".join(texts) + b"\n"
+    b = np.frombuffer(buf, np.uint8)
+    space = _SPACE[b]
+    edge = np.flatnonzero(np.diff(space, prepend=True))
+    starts, ends = edge[::2], edge[1::2]
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]) if texts else np.zeros(0, np.int64)
+    counts = np.diff(np.searchsorted(starts, [*offsets, len(b)])) if texts else np.zeros(0, np.int64)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(int(np.searchsorted(ends, base + SEGMENT, side="right")), at + 1)
+        up, down = powers(int(ends[to - 1] - base))
+        piece = b[base : ends[to - 1]].astype(np.uint64)
+        piece += np.uint64(1)
+        piece *= up[: len(piece)]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(piece)])
+        out[at:to] = mixed((sums[ends[at:to] - base] - sums[starts[at:to] - base]) * down[starts[at:to] - base])
+        at = to
+    return out, counts.astype(np.int64)
+
+
+def rolling(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``size`` consecutive numbers."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, block = np.empty(n, np.uint64), 1 << 18
+    up, down = powers(block + size, 0xD6E8FEB86659FD93)
+    for a in range(0, n, block):
+        part = h[a : a + block + size - 1]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(part, salt) * up[: len(part)])])
+        out[a : a + block] = mixed((sums[size:] - sums[:-size]) * down[: len(sums) - size], salt)
+    return out
+
+
+def sliding(x: np.ndarray, size: int, pick: np.ufunc, rest: int) -> np.ndarray:
+    """Minimum or maximum of all runs of ``size`` numbers; the last runs are filled up with ``rest``."""
+    n = len(x)
+    pad = np.full((-(-(n + size) // size)) * size, rest, x.dtype)
+    pad[:n] = x
+    rows = pad.reshape(-1, size)
+    ahead = pick.accumulate(rows, axis=1).reshape(-1)
+    behind = pick.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return pick(behind[:n], ahead[size - 1 : size - 1 + n])

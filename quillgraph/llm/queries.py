@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import html_text, language_id, mixing, quality_fm, warc
+from quillgraph.llm import html_text, language_id, mixing, quality_fm, simhash_dedup, substring_dedup, warc
 from quillgraph.llm.common import crc_mod, table
 
 
@@ -15,6 +15,11 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
@@ -30,6 +35,10 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), keep_text=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,8 +50,10 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
+    "op6_simhash": op6_simhash,
     "op7_source_mix": op7_source_mix,
     "op9_warc": op9_warc,
 }
