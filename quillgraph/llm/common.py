@@ -161,8 +161,8 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, and the number of words of each text.
+def hashed_words(texts: list[bytes], endings: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words of the texts, and the number of words of each text; with ``endings`` also each word's last two bytes.
 
     A word's hash is a polynomial of its bytes, taken from prefix sums over the joined texts; segments cut at white space bound the tables.
     """
@@ -185,9 +185,43 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(piece)])
         out[at:to] = mixed((sums[ends[at:to] - base] - sums[starts[at:to] - base]) * down[starts[at:to] - base])
         at = to
+    if endings:
+        return out, counts.astype(np.int64), b[ends - 1].astype(np.int64) * 256 + np.where(ends - starts > 1, b[np.maximum(ends - 2, 0)], 0)
     return out, counts.astype(np.int64)
 
 
+class HashIndex:
+    """Row numbers of a bounded set of 64-bit keys, looked up by arrays: open addressing on the top 20 bits."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        size = 1 << 20
+        if len(keys) > size // 2:
+            raise ValueError("too many keys")
+        self.keys, self.rows = np.zeros(size + 4096, np.uint64), np.full(size + 4096, -1, np.int32)
+        left = np.arange(len(keys))
+        slot = (keys >> np.uint64(44)).astype(np.int64)
+        while len(left):
+            free = self.rows[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            chosen = np.flatnonzero(free)[first]
+            self.keys[slot[chosen]], self.rows[slot[chosen]] = keys[left[chosen]], left[chosen]
+            rest = np.ones(len(left), bool)
+            rest[chosen] = False
+            left, slot = left[rest], slot[rest] + 1
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Row numbers, -1 for keys that are not there."""
+        out = np.full(len(h), -1, np.int32)
+        at, slot = np.arange(len(h)), (h >> np.uint64(44)).astype(np.int64)
+        while len(at):
+            row = self.rows[slot]
+            hit = (row >= 0) & (self.keys[slot] == h[at])
+            out[at[hit]] = row[hit]
+            on = ~hit & (row >= 0)
+            at, slot = at[on], slot[on] + 1
+        return out
+
+
 def rolling(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hashes of all runs of ``size`` consecutive numbers."""
     n = len(h) - size + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import html_text, language_id, mixing, quality_fm, simhash_dedup, substring_dedup, warc
+from quillgraph.llm import hmm_lm, html_text, language_id, mixing, quality_fm, simhash_dedup, substring_dedup, warc
 from quillgraph.llm.common import crc_mod, table
 
 
@@ -15,6 +15,11 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def op2_hmm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
+    return hmm_lm.score(docs)
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -50,6 +55,7 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_hmm": op2_hmm,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
