@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import hmm_lm, html_text, language_id, mixing, quality_fm, simhash_dedup, substring_dedup, warc
+from quillgraph.llm import hmm_lm, html_text, language_id, learned_ann, mixing, quality_fm, simhash_dedup, substring_dedup, warc
 from quillgraph.llm.common import crc_mod, table
 
 
@@ -53,6 +53,10 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.warc_round_trip(spark, table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return learned_ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_hmm": op2_hmm,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_source_mix": op7_source_mix,
     "op9_warc": op9_warc,
+    "op10_ann": op10_ann,
 }
 
 OP7_SQL = r"""
