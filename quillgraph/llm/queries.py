@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import hmm_lm, html_text, language_id, learned_ann, mixing, quality_fm, simhash_dedup, substring_dedup, warc
+from quillgraph.llm import decontaminate, hmm_lm, html_text, language_id, learned_ann, mixing, quality_fm, simhash_dedup, substring_dedup, warc
 from quillgraph.llm.common import crc_mod, table
 
 
@@ -49,6 +49,10 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.warc_round_trip(spark, table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op7_source_mix": op7_source_mix,
+    "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_ann": op10_ann,
 }
