@@ -1,8 +1,61 @@
-"""Pipeline over documents; its stages are added one by one."""
+"""From documents to a training mix, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and read again as the next one's docs.
+All but the last return the columns of ``documents``.
+
+1. quality      documents that the classifier scores below its threshold go (learned from labels whose crc32(doc_id) mod 5 is not 0)
+2. near_dups    one document of each group of SimHash near-duplicates stays, that with the smallest doc_id
+3. substrings   words go that lie in a window of 50 words which also starts in a document with a smaller doc_id; a document that loses
+                words keeps the others joined by one space, one that loses all goes
+4. benchmark    documents that contain a benchmark item go
+5. mix          documents of which the mix takes no word go; the others get size, source_size, target and taken
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.llm import decontaminate, mixing, quality_fm, simhash_dedup, substring_dedup
+from quillgraph.llm.common import crc_mod, settled, table
+
+#: The classifier, the mixing and the hashing have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality_fm.train(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    return quality_fm.score(docs, model).where(F.col("score") >= quality_fm.THRESHOLD).select(*docs.columns)
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_dedup.deduplicate(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(docs)
+    changed = F.col("n_removed") > 0
+    cut = cut.where(~changed | (F.col("kept") != "")).withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).where("taken > 0")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("near_dups", near_dups), ("substrings", substrings), ("benchmark", benchmark), ("mix", mix)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
