@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Words without weight in names and their articles.
 STOPWORDS = ["the", "a", "an", "of", "for", "in", "to", "and", "or", "by", "on", "at", "with", "from"]
@@ -191,7 +192,7 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks (Ratcliff-Obershelp), which has no built-in equivalent: Arrow batches, one call per pair."""
     return pd.Series([0.0 if not x or not y else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
@@ -323,20 +324,27 @@ def paragraph_relevance(col: Column, triggers: list[str], hints: dict[str, float
     return F.least(F.lit(1.0), total / max(1, len(weighted)))
 
 
-def negation(col: Column, surface: Column, least: float = 0.30, reach: int = 80) -> Column:
-    """The cue by which a text negates a surface: the first pattern, in order, whose surroundings share enough tokens with it; null if none."""
-    text, want = F.lower(blank(col)), tokens(surface)
+def negation_cues(col: Column, reach: int = 80) -> Column:
+    """Array of (cue, toks): the negation patterns that a text holds, in order, with the tokens around each; empty if it only looks like negation."""
+    text = F.lower(blank(col))
 
-    def cue(pattern: str) -> Column:
+    def found(pattern: str) -> Column:
         at = F.regexp_instr(text, F.lit(pattern)) - 1
         first = F.greatest(F.lit(0), at - reach)
-        near = F.substr(text, first + 1, at + reach - first)
-        return F.when((at >= 0) & (jaccard(want, tokens(near)) >= least), F.trim(F.regexp_extract(text, pattern, 0)))
+        return F.when(at >= 0, F.struct(F.trim(F.regexp_extract(text, pattern, 0)).alias("cue"), tokens(F.substr(text, first + 1, at + reach - first)).alias("toks")))
+
+    every = F.array_compact(F.array(*map(found, NEGATIONS)))
+    return F.when(text.rlike("|".join(NOT_NEGATIONS)), F.slice(every, 1, 0)).otherwise(every)
+
 
-    guarded = F.lit(False)
-    for x in NOT_NEGATIONS:
-        guarded = guarded | F.contains(text, F.lit(x))
-    return F.when(~guarded & (blank(surface) != "") & (text != ""), F.coalesce(*map(cue, NEGATIONS)))
+def negates(cues: Column, want: Column, least: float = 0.30) -> Column:
+    """The first cue whose surroundings share enough tokens with the wanted ones; null if none."""
+    return F.get(F.filter(cues, lambda c: jaccard(want, c["toks"]) >= least), F.lit(0))["cue"]
+
+
+def negation(col: Column, surface: Column, least: float = 0.30, reach: int = 80) -> Column:
+    """The cue by which a text negates a surface; null if it does not."""
+    return F.when(blank(surface) != "", negates(negation_cues(col, reach), tokens(surface), least))
 
 
 def document_ids(col: Column) -> Column:

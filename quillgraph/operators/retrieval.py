@@ -58,7 +58,8 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str])
     """key, score: BM25 of each field times its boost, summed.  Term counts are made per row, so only one row per document and field is ever moved."""
     q = sorted({x.lower() for x in terms})
     rows = docs.select(key, *[F.regexp_extract_all(F.lower(t.blank(F.col(f))), F.lit("[a-z0-9]+"), 0).alias(f) for f in fields])
-    counted = rows.select(key, *[F.size(f).alias(f"{f}_n") for f in fields], *[F.size(F.filter(f, lambda x, w=w: x == w)).alias(f"{f}_{i}") for f in fields for i, w in enumerate(q)])
+    times = lambda f, w: F.size(F.filter(f, lambda x: x == F.lit(w)))
+    counted = rows.select(key, *[F.size(f).alias(f"{f}_n") for f in fields], *[times(f, w).alias(f"{f}_{i}") for f in fields for i, w in enumerate(q)])
     stats = counted.agg(F.count("*").alias("docs"), *[F.avg(f"{f}_n").alias(f"{f}_avg") for f in fields], *[F.sum((F.col(f"{f}_{i}") > 0).cast("int")).alias(f"{f}_df{i}") for f in fields for i in range(len(q))])
     joined = counted.join(F.broadcast(stats))  # one row
 

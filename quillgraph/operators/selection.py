@@ -31,7 +31,7 @@ def cover(candidates: DataFrame, k: int, required: list[str], family_weight: flo
         return pd.DataFrame([{"artifact_id": r["artifact_id"], "step": r["step"], "gain": r["gain"]} for r in out], columns=["artifact_id", "step", "gain"])
 
     kind = candidates.schema["artifact_id"].dataType.simpleString()
-    return short.groupBy(F.lit(0)).applyInPandas(run, f"artifact_id {kind}, step int, gain double")
+    return short.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"artifact_id {kind}, step int, gain double")
 
 
 def diverse(subgraphs: DataFrame, bonus: float = 0.3, prefilter: int = 50) -> DataFrame:
@@ -56,7 +56,7 @@ def diverse(subgraphs: DataFrame, bonus: float = 0.3, prefilter: int = 50) -> Da
         return pd.DataFrame(out, columns=["subgraph_id", "step", "novelty"])
 
     kind = subgraphs.schema["subgraph_id"].dataType.simpleString()
-    return subgraphs.orderBy(F.desc("score"), "subgraph_id").limit(prefilter).groupBy(F.lit(0)).applyInPandas(run, f"subgraph_id {kind}, step int, novelty double")
+    return subgraphs.orderBy(F.desc("score"), "subgraph_id").limit(prefilter).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"subgraph_id {kind}, step int, novelty double")
 
 
 def bridged(candidates: DataFrame, chosen: DataFrame, most: int = 3) -> DataFrame:

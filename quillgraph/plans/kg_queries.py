@@ -18,7 +18,7 @@ CANON = r"""
   FROM raw_entities),
 amap AS (SELECT lower(abbr) AS ab, min(canon) AS mc, min(l1) AS ml FROM split WHERE abbr IS NOT NULL GROUP BY lower(abbr) HAVING count(DISTINCT (canon, l1)) = 1),
 rows AS (
-  SELECT s.*, coalesce(mc, canon) AS name, CASE WHEN ml IS NULL THEN [l1, l2] ELSE list_distinct([ml, l2]) END AS labels_, coalesce(ml, l1) AS first_label,
+  SELECT s.*, coalesce(mc, canon) AS name, CASE WHEN ml IS NULL THEN [l1, l2] WHEN ml = l2 THEN [ml] ELSE [ml, l2] END AS labels_, coalesce(ml, l1) AS first_label,
          substr(sha256('entity_weak|' || coalesce(ml, l1) || '|' || lower(coalesce(mc, canon))), 1, 12) AS kg_id
   FROM split s LEFT JOIN amap ON s.abbr IS NULL AND lower(s.canon) = ab)
 """
@@ -185,7 +185,7 @@ def completeness(p: Inputs) -> DataFrame:
     return checks.completeness(p.documents.join(p.labels, "doc_id", "left"), ["quality", "lang", "text"])
 
 
-@query("SELECT CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_covered, count(*) AS n_rows, round(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) / count(*), 6) AS ratio FROM labels")
+@query("SELECT CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_covered, count(*) AS n_rows, round(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) / count(*), 9) AS ratio FROM labels")
 def coverage_ratio(p: Inputs) -> DataFrame:
     """AGG-08."""
     return checks.coverage(p.labels, F.col("toxic") == 1)

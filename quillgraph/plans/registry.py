@@ -34,7 +34,7 @@ PROXIES = {
                CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'V' || CAST(o_orderkey % 2 AS STRING) END AS var_name,
                o_orderpriority || ' order ' || CASE o_orderstatus WHEN 'P' THEN 'is pending' WHEN 'F' THEN 'was filled' ELSE 'is open now' END AS surface,
                'Placed on ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || CASE WHEN o_orderkey % 10 = 3 THEN ' which replaces the former one' ELSE ' by phone' END AS content_excerpt,
-               o_totalprice / 500000.0 AS reliability_score, 'k' || CAST(o_custkey % 50 AS STRING) AS kg0_entity_id, 'a' || CAST(o_orderkey % 13 AS STRING) AS artifact_id,
+               o_totalprice / 500000.0 AS reliability_score, 'k' || CAST(o_orderkey % 50 AS STRING) AS kg0_entity_id, 'a' || CAST(o_orderkey % 13 AS STRING) AS artifact_id,
                CASE o_orderkey % 3 WHEN 0 THEN 'GROUNDED' WHEN 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS quality, 'c' || CAST(o_custkey AS STRING) AS claim_uid
         FROM orders""",
     "chain_members": """
@@ -83,7 +83,7 @@ class Inputs:
         return self._spark.sql(text, **{x: table(self._spark, self._folder, x) for x in used})
 
 
-def plain(df: DataFrame, digits: int = 6) -> DataFrame:
+def plain(df: DataFrame, digits: int = 9) -> DataFrame:
     """Whole numbers as long, doubles rounded, arrays of text as text: what both engines print alike."""
     out = []
     for f in df.schema:
@@ -108,7 +108,7 @@ def query(sql: str | None = None, uses: tuple[str, ...] = ()):
             body = sql.strip()
             if body.startswith(","):
                 parts.append(body[1:].strip())
-                ORACLE[build.__name__] = "WITH " + ", ".join(parts)
+                ORACLE[build.__name__] = "WITH RECURSIVE " + ", ".join(parts)
             else:
                 ORACLE[build.__name__] = ("WITH " + ", ".join(parts) + " " if parts else "") + body
         return build
