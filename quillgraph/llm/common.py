@@ -47,11 +47,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives the loss of executors."""
+#: Folders of settled tables that are still there, by the JVM's object of their context.
+_scratch: list[str] = []
+
+
+def settled(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives the loss of executors.  ``keep``: ``sweep`` leaves it."""
     spark = df.sparkSession
     df.write.parquet(path := fresh_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    if not keep:
+        _scratch.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again, and let go of the shuffle files of finished plans."""
+    for df in tables:
+        _delete(df.sparkSession, df.settled_at)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all settled tables of results that have been written elsewhere."""
+    for path in list(_scratch):
+        _delete(spark, path)
+    release(spark)
 
 
 def small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
@@ -105,28 +135,31 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each halves the depth of the trees and keeps at most one row per edge, so no group is
-    gathered anywhere (minima are combined before the shuffle).  The table is settled in the shared folder each round.  Nulls and loops drop out.
+    gathered anywhere (minima are combined before the shuffle).  The table is settled in the shared folder each round; the rounds end when
+    every edge leads to a root.  Joins are by merge at every size.  Nulls and loops drop out.
     """
     def starred(rows: DataFrame, large: bool) -> DataFrame:
         both = rows.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        joined = both.join(least, "u")
+        joined = both.join(least.hint("merge"), "u")
         kept = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return kept.where("a <> b").distinct()
 
-    now = settled(edges.select("a", "b").where("a <> b").distinct(), "links")
-    nodes = now.select(F.col("a").alias("node")).unionByName(now.select(F.col("b").alias("node"))).distinct()
-    mark = None
+    every = now = settled(edges.select("a", "b").where("a <> b").distinct(), "links")
     for _ in range(most_rounds):
-        now = settled(starred(starred(now, True), False), "links")
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen.n, seen.h) == mark:
+        last, now = now, settled(starred(starred(now, True), False), "links")
+        if last is not every:
+            discard(last)
+        ends = now.select(F.col("b").alias("x"), F.lit(1).alias("as_root"), F.lit(0).alias("as_leaf")).unionByName(now.select("a", F.lit(0), F.lit(1)).toDF("x", "as_root", "as_leaf"))
+        if ends.groupBy("x").agg(F.sum("as_root").alias("r"), F.sum("as_leaf").alias("l")).where("l > 1 OR (r > 0 AND l > 0)").isEmpty():
             break
-        mark = (seen.n, seen.h)
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    nodes = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).distinct()
+    out = settled(nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")).hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+    discard(every, now)
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -236,6 +269,20 @@ def rolling(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return out
 
 
+def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of runs of numbers, h[start:end], given by rising starts."""
+    out, block = np.empty(len(starts), np.uint64), 1 << 18
+    longest = int((ends - starts).max(initial=0))
+    up, down = powers(block + longest + 1, 0xA0761D6478BD642F)
+    for a in range(0, len(h), block):
+        i, j = np.searchsorted(starts, [a, a + block])
+        if i < j:
+            part = h[a : a + block + longest]
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(part, salt) * up[: len(part)])])
+            out[i:j] = mixed((sums[ends[i:j] - a] - sums[starts[i:j] - a]) * down[starts[i:j] - a] + (ends[i:j] - starts[i:j]).astype(np.uint64), salt)
+    return out
+
+
 def sliding(x: np.ndarray, size: int, pick: np.ufunc, rest: int) -> np.ndarray:
     """Minimum or maximum of all runs of ``size`` numbers; the last runs are filled up with ``rest``."""
     n = len(x)

@@ -3,10 +3,11 @@
 A window of ``window`` words is an edge of the graph (from its first to its last ``window`` - 1 words).  A word goes if a window covers it whose
 word sequence also starts in a document with a smaller doc_id.
 
-1. Anchors.  Each window names the smallest of the hashes of its short k-mers (its minimiser).  Equal windows name equal anchors, so windows
-   whose anchor is in one document only are unique; nothing is sampled.  Only one k-mer in twenty is an anchor.
-2. Edges.  Documents that hold a repeated anchor emit the hashes of those windows.  Equal windows are counted before the shuffle; an edge keeps
-   its source coordinate (smallest doc_id and place), its number of occurrences and signatures of where they are.
+1. Runs.  Each window names the smallest of the hashes of its short k-mers (its minimiser); consecutive windows of one name form a run (a
+   super-k-mer), some twenty windows in one row.  Equal windows have equal names, so nothing is sampled.  The windows of a run that a smaller
+   document has as a whole go; so does every equal run but that of the smallest document, its representative.
+2. Edges.  What is left to compare are representatives of different runs of one name.  Their documents emit the hashes of those windows.
+   An edge keeps its source coordinate (smallest doc_id and place), its number of occurrences and signatures of where they are.
 3. Paths.  An edge continues another if it follows it in the source and both occur at the same places, shifted by one (no branch before or
    after, no document that ends between).  A join finds the continuations; runs of them compact to one path with its head and length.
 4. Spans.  Occurrences of path heads in documents after the source are the repeated spans, with both coordinates; whoever meets the head
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import hashed_words, release, rolling, settled, sliding, text_chunks
+from quillgraph.llm.common import discard, hashed_words, rolling, settled, sliding, span_hashes, text_chunks
 
 WINDOW = 50
 ANCHOR = 12
+RUN = 64
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -48,20 +50,31 @@ def _anchored(texts: list[bytes], window: int, anchor: int):
     return h, doc, first, kmers, least
 
 
-def _anchors(window: int, anchor: int):
+def _cut_runs(least: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of runs of consecutive windows of one text and one anchor, of at most ``RUN`` windows each."""
+    fresh = np.ones(len(least), bool)
+    fresh[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(fresh)
+    step = np.arange(len(least)) - np.repeat(first, np.diff(np.append(first, len(least))))
+    starts = np.flatnonzero((step % RUN == 0) & (least != 0))
+    cut = np.flatnonzero((step % RUN == 0))
+    ends = np.append(cut, len(least))[np.searchsorted(cut, starts) + 1]
+    return starts, ends
+
+
+def _runs(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_chunks(batches):
-            _, doc, _, kmers, least = _anchored(texts, window, anchor)
-            span = window - anchor + 1
-            # A k-mer is an anchor if some window that holds it has it as minimum: the largest of those minima is its own hash.
-            over = sliding(np.concatenate([np.zeros(span - 1, np.uint64), least]), span, np.maximum, 0)[: len(least)]
-            at = np.flatnonzero((over == kmers) & (kmers != _TOP))
-            order = at[np.lexsort((kmers[at], doc[at]))]
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (np.diff(doc[order]) != 0) | (kmers[order][1:] != kmers[order][:-1])
-            order = order[fresh]
-            ids = rows.column("doc_id").take(pa.array(doc[order]))
-            yield pa.RecordBatch.from_arrays([pa.array(kmers[order].view(np.int64)), ids], ["anchor", "doc_id"])
+            h, doc, first, _, least = _anchored(texts, window, anchor)
+            starts, ends = _cut_runs(least, doc)
+            words = ends + (window - 1)
+            ids, own = (rows.column(c).take(pa.array(doc[starts])) for c in ("doc_id", "row"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(least[starts].view(np.int64)), pa.array(span_hashes(h, starts, words).view(np.int64)), pa.array((span_hashes(h, starts, words, 1) >> np.uint64(33)).astype(np.int32)),
+                    ids, own, pa.array((starts - first[doc[starts]]).astype(np.int32)), pa.array((words - starts).astype(np.int32)),
+                ], ["anchor", "run", "c", "doc_id", "row", "pos", "words"],
+            )
 
     return run
 
@@ -70,51 +83,60 @@ def _windows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_chunks(batches):
             h, doc, first, _, least = _anchored(texts, window, anchor)
-            lists = rows.column("anchors")
-            found = []
-            for i, (a, b) in enumerate(zip(first, [*first[1:], len(h)], strict=True)):
-                if b - a >= window:
-                    hit = np.flatnonzero(np.isin(least[a:b], lists[i].values.to_numpy().view(np.uint64)))
-                    found.append(hit + a)
-            at = np.concatenate(found) if found else np.zeros(0, np.int64)
-            at = at[least[at] != 0]
+            starts, ends = _cut_runs(least, doc)
+            keys, owner, lists = span_hashes(h, starts, ends + (window - 1)), doc[starts], rows.column("runs")
+            keep = np.zeros(len(starts), bool)
+            edge = np.searchsorted(owner, np.arange(len(texts) + 1))
+            for i in range(len(texts)):
+                a, b = edge[i], edge[i + 1]
+                if a < b:
+                    keep[a:b] = np.isin(keys[a:b], lists[i].values.to_numpy().view(np.uint64))
+            starts, sizes = starts[keep], (ends - starts)[keep]
+            at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             one, two = rolling(h, window), rolling(h, window, 1)
-            ids = rows.column("doc_id").take(pa.array(doc[at]))
+            ids, own = (rows.column(c).take(pa.array(doc[at])) for c in ("doc_id", "row"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one[at].view(np.int64)), pa.array((two[at] >> np.uint64(33)).astype(np.int32)), ids, pa.array((at - first[doc[at]]).astype(np.int32))], ["h", "c", "doc_id", "pos"]
+                [pa.array(one[at].view(np.int64)), pa.array((two[at] >> np.uint64(33)).astype(np.int32)), ids, own, pa.array((at - first[doc[at]]).astype(np.int32))], ["h", "c", "doc_id", "row", "pos"]
             )
 
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, pos, words, source_doc, source_pos: maximal runs along unbranched paths that a document shares with its smallest source."""
-    spark = docs.sparkSession
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = settled(light.mapInArrow(_anchors(window, anchor), "anchor long, doc_id long"), "anchors")
-    repeated = settled(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "repeated")
-    # One row per document: its own repeated anchors, never more than it has words.
-    lists = anchors.join(repeated, "anchor").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("anchor").alias("anchors"))
-    found = light.join(lists, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "anchors")
-    windows = settled(found.mapInArrow(_windows(window, anchor), "h long, c int, doc_id long, pos int"), "windows")
-    release(spark)
-    at = lambda back: F.xxhash64("doc_id", F.col("pos") - back)
+    """doc_id, row (hash of the text), pos, words, source_doc: spans of ``window`` or more words that a document shares with a smaller one (whole runs, unbranched paths)."""
+    # A row is known by its doc_id and the hash of its text, as a doc_id may come with several texts.
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    runs = settled(light.mapInArrow(_runs(window, anchor), "anchor long, run long, c int, doc_id long, row long, pos int, words int"), "runs")
+    distinct = settled(runs.groupBy("run", "c", "anchor").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")), "distinct")
+    copied = distinct.where("doc < last").select(F.col("run").alias("_run"), F.col("c").alias("_c"), "doc")
+    # Joins are by merge at every size, so that what a small input shows holds for a large one.
+    whole = runs.join(copied.hint("merge"), (F.col("run") == F.col("_run")) & (F.col("c") == F.col("_c"))).where("doc_id > doc")
+    whole = settled(whole.select("doc_id", "row", "pos", "words", F.col("doc").alias("source_doc")), "copies")
+    contested = settled(distinct.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("n > 1 AND a < b").select("_anchor"), "contested")
+    # One row per document: the runs that it represents, never more than it has words.
+    lists = distinct.join(contested.hint("merge"), F.col("anchor") == F.col("_anchor")).groupBy(F.col("doc").alias("_id")).agg(F.collect_list("run").alias("runs"))
+    found = light.join(lists.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "row", "text", "runs")
+    windows = settled(found.mapInArrow(_windows(window, anchor), "h long, c int, doc_id long, row long, pos int"), "windows")
+    discard(runs, distinct, contested)
+    at = lambda back: F.xxhash64("doc_id", "row", F.col("pos") - back)
     low = F.lit(0x7FFFFFFF)
     edges = windows.groupBy("h", "c").agg(
-        F.min(F.struct("doc_id", "pos")).alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("n"),
+        F.min(F.struct("doc_id", "row", "pos")).alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("n"),
         F.bit_xor(at(0)).alias("here"), F.bit_xor(at(1)).alias("before"), F.sum(at(0).bitwiseAND(low)).alias("here_sum"), F.sum(at(1).bitwiseAND(low)).alias("before_sum"),
     )
-    edges = settled(edges.where("source.doc_id < last").select("h", "c", F.col("source.doc_id").alias("doc"), F.col("source.pos").alias("pos"), "n", "here", "before", "here_sum", "before_sum"), "edges")
-    release(spark)
-    prior = edges.select(F.col("doc").alias("_doc"), (F.col("pos") + 1).alias("_next"), F.col("n").alias("_n"), F.col("here").alias("_here"), F.col("here_sum").alias("_sum"))
-    same = (F.col("doc") == F.col("_doc")) & (F.col("pos") == F.col("_next")) & (F.col("n") == F.col("_n")) & (F.col("before") == F.col("_here")) & (F.col("before_sum") == F.col("_sum"))
-    linked = edges.join(prior, same, "left").select("h", "c", "doc", "pos", F.col("_next").isNull().cast("int").alias("head"))
+    edges = settled(edges.where("source.doc_id < last").select("h", "c", F.col("source.doc_id").alias("doc"), "source.row", "source.pos", "n", "here", "before", "here_sum", "before_sum"), "edges")
+    prior = edges.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), (F.col("pos") + 1).alias("_next"), F.col("n").alias("_n"), F.col("here").alias("_here"), F.col("here_sum").alias("_sum"))
+    same = (F.col("doc") == F.col("_doc")) & (F.col("row") == F.col("_row")) & (F.col("pos") == F.col("_next")) & (F.col("n") == F.col("_n")) & (F.col("before") == F.col("_here")) & (F.col("before_sum") == F.col("_sum"))
+    linked = edges.join(prior.hint("merge"), same, "left").select("h", "c", "doc", "row", "pos", F.col("_next").isNull().cast("int").alias("head"))
     # A document's edges in its own order: no larger than the document.
-    numbered = linked.withColumn("path", F.sum("head").over(W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    paths = numbered.groupBy("doc", "path").agg(F.min(F.struct("pos", "h", "c")).alias("first"), F.count("*").alias("edges"))
-    heads = settled(paths.select(F.col("first.h").alias("_h"), F.col("first.c").alias("_c"), "doc", F.col("first.pos").alias("source_pos"), "edges"), "paths")
-    spans = windows.join(heads, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).where("doc_id > doc")
-    return spans.select("doc_id", "pos", (F.col("edges") + (window - 1)).cast("int").alias("words"), F.col("doc").alias("source_doc"), "source_pos")
+    numbered = linked.withColumn("path", F.sum("head").over(W.partitionBy("doc", "row").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    paths = numbered.groupBy("doc", "row", "path").agg(F.min(F.struct("pos", "h", "c")).alias("first"), F.count("*").alias("edges"))
+    heads = settled(paths.select(F.col("first.h").alias("_h"), F.col("first.c").alias("_c"), "doc", "edges"), "paths")
+    spans = windows.join(heads.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).where("doc_id > doc")
+    out = whole.unionByName(spans.select("doc_id", "row", "pos", (F.col("edges") + (window - 1)).cast("int").alias("words"), F.col("doc").alias("source_doc")))
+    out = settled(out, "spans")
+    discard(whole, windows, edges, heads)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +161,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The documents with n_words, n_removed and kept (the words that stay, joined by one space)."""
-    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_cuts", "_id")]
-    spans = settled(repeated_spans(docs, window, anchor), "spans")
-    release(docs.sparkSession)
-    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("pos", "words")).alias("_cuts"))
-    rows = docs.select(*own).join(cuts, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_cuts", "_id", "_row")]
+    spans = repeated_spans(docs, window, anchor)
+    cuts = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("pos", "words")).alias("_cuts"))
+    rows = docs.select(*own).join(cuts.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_id", "_row")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own), "n_words long, n_removed long, kept string"])
     return rows.mapInArrow(_cut, schema)
