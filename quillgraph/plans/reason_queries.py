@@ -221,7 +221,7 @@ def uncertainty_map(p: Inputs) -> DataFrame:
     return construct.uncertainty(p.claims)
 
 
-@query("SELECT uid, round(confidence - 0.5, 9) AS margin, CASE WHEN round(confidence - 0.5, 6) >= 0.25 THEN 'robust' WHEN round(confidence - 0.5, 6) >= 0.1 THEN 'stable' WHEN round(confidence - 0.5, 6) >= 0 THEN 'fragile' ELSE 'below' END AS band FROM inferences", ("inferences",))
+@query("SELECT uid, round(confidence - 0.5, 6) AS margin, CASE WHEN round(confidence - 0.5, 6) >= 0.25 THEN 'robust' WHEN round(confidence - 0.5, 6) >= 0.1 THEN 'stable' WHEN round(confidence - 0.5, 6) >= 0 THEN 'fragile' ELSE 'below' END AS band FROM inferences", ("inferences",))
 def sensitivity_bands(p: Inputs) -> DataFrame:
     """AGG-27."""
     return construct.sensitivity(p.inferences)
