@@ -94,7 +94,9 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, step: int, shingles:
     asked = F.ceil((F.col("start") + F.col("m")) / F.lit(step)) - F.ceil(F.col("start") / F.lit(step))
     enough = opened.groupBy("doc_id", "item_id", "n", "m", "u", "start").agg(F.count("*").alias("found")).where(F.col("found") >= F.greatest(F.lit(1), asked - F.col("u")))
     windows = enough.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "m")).alias("windows"))
-    read = texts.join(windows.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    # Texts are shuffled as they are, and cut to words behind the join.
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    read = plain.join(windows.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).withColumn("words", _words(F.col("text")))
     cut = read.select("doc_id", F.explode(F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), w["m"].alias("m"), _shingles(F.col("words"), w["start"], w["start"] + w["m"] - 1, width).alias("hashes")))).alias("w"))
     cut = settled(cut.select("doc_id", "w.start", "w.n", "w.m", "w.hashes").distinct(), "windows")
     pieces = cut.select("doc_id", "start", "n", F.explode("hashes").alias("h")).withColumn("w", F.lit(1))

@@ -3,8 +3,8 @@
 score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); the pairwise sum is 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2), so
 a document costs time linear in its words.  Words are hashed to ``2 ** BITS`` buckets, each occurrence with value ``WORD_WEIGHT`` / words.
 
-Training takes at most ``max_train_rows`` labelled rows, those with the smallest hash of their id; their features (not their texts) go to the
-driver, which fits the model by mini-batches of AdaGrad.  Scoring reads every whole text.
+Training takes at most ``max_train_rows`` labelled rows, those with the smallest hash of their id; their features (not their texts) go to
+one task, which fits the model by mini-batches of AdaGrad.  Scoring reads every whole text.
 
 Defined results: null and empty texts have no words and are scored from their statistics; rows without label, or with a null label, train
 nothing; several labels of a document count as their smallest; with no training row, or only one class, all scores are the smoothed base rate;
@@ -13,6 +13,7 @@ null n_chars (or no such column) gives no metadata; repeated rows are scored eac
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -160,10 +161,16 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column, max_train_rows:
                 found.append((u.astype(np.int32).tobytes(), (c / max(b - a, 1)).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_label"), pa.array([x.tobytes() for x in stats], pa.binary()), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["doc_id", "label", "stats", "ids", "shares"])
 
-    # Bounded by max_train_rows: features of so many documents.
-    got = sorted(rows.mapInArrow(run, "doc_id long, label int, stats binary, ids binary, shares binary").collect(), key=lambda r: (r.doc_id, bytes(r.stats)))
-    stats = np.array([np.frombuffer(r.stats) for r in got]).reshape(len(got), STATS)
-    return fit(stats, [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in got], np.array([min(max(r.label, 0), 1) for r in got], float))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[2], r[3]))
+        own = np.array([np.frombuffer(r[2]) for r in got]).reshape(len(got), STATS)
+        model = fit(own, [(np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.float32)) for r in got], np.array([min(max(r[1], 0), 1) for r in got], float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # One task gets the features of at most max_train_rows documents; the driver gets the model alone.
+    features = rows.mapInArrow(run, "doc_id long, label int, stats binary, ids binary, shares binary")
+    found = features.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(np.zeros((0, STATS)), [], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import connected_components, release, settled, text_chunks
+from quillgraph.llm.common import connected_components, discard, settled, small, text_chunks
 
 SHINGLE = 4
 RADIUS = 4
@@ -104,38 +104,45 @@ def _forest(radius: int):
 
 def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(a, b): links that join all of ``nodes`` (distinct fp, id) whose fingerprints are within ``radius`` bits, as ids."""
-    spark, half = nodes.sparkSession, radius // 2
+    half = radius // 2
     parts = F.array(F.expr("fp & 4294967295L"), F.expr("shiftrightunsigned(fp, 32)"))
     keyed = nodes.select("fp", "id", F.posexplode(parts).alias("side", "part"))
     keyed = keyed.select("fp", "id", "side", "part", F.explode(_masks(ball(32, half // 2 if half > 1 else half))).alias("mask")).select(F.expr("shiftleft(cast(side as long), 32) | (part ^ mask)").alias("key"), "fp", "id")
-    near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= radius
+    # Of two rows, the smallest and the largest are both.  Most keys are met once, so a hash table of them would only fill memory before the
+    # shuffle; minima of structs are aggregated by sorting, which spills.
     met = settled(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("fp", "id")).alias("p"), F.max(F.struct("fp", "id")).alias("q")).where("n > 1"), "met")
+    near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= radius
     pairs = met.where("n = 2").where(near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    crowded = settled(keyed.join(met.where("n > 2").select("key", "n"), "key"), "crowded")
-    release(spark)
+    # Few keys are met by more than two; they are broadcast if counted to be few, else joined by shuffle.
+    many = met.where("n > 2").select("key", "n")
+    crowded = settled(keyed.join(small(many, many.count()), "key"), "crowded")
     lists = crowded.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fp", "id")).alias("x")).select(F.col("x.fp").alias("fps"), F.col("x.id").alias("ids"))
     listed = lists.mapInArrow(_forest(radius), "a long, b long")
     # Deal before the ball is spread out, so that the work of a crowd is shared by all tasks.
     hot = crowded.where(F.col("n") > crowd).select("fp", "id").distinct()
     spread = hot.select("fp", "id", F.explode(_masks(ball(64, half))).alias("mask")).select(F.expr("fp ^ mask").alias("variant"), "fp", "id")
     least = spread.groupBy("variant").agg(F.min(F.struct("id", "fp")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    starred = spread.join(least, "variant").where((F.col("id") != F.col("least.id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= radius))
-    return settled(pairs.unionByName(listed).unionByName(starred.select(F.col("id").alias("a"), F.col("least.id").alias("b"))).distinct(), "near")
+    starred = spread.join(least.hint("merge"), "variant").where((F.col("id") != F.col("least.id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= radius))
+    out = settled(pairs.unionByName(listed).unionByName(starred.select(F.col("id").alias("a"), F.col("least.id").alias("b"))).distinct(), "near")
+    discard(met, crowded)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable) of every document."""
     light = settled(fingerprints(docs, shingle), "fingerprints")
     nodes = settled(light.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    found = connected_components(links(nodes.where("id IS NOT NULL"), radius, crowd))
-    named = settled(nodes.join(found, nodes["id"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id")), "named")
+    near = links(nodes.where("id IS NOT NULL"), radius, crowd)
+    found = connected_components(near)
+    named = settled(nodes.join(found.hint("merge"), nodes["id"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id")), "named")
+    discard(near, found, nodes)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return light.join(named, F.col("fp") == F.col("_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return light.join(named.hint("merge"), F.col("fp") == F.col("_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each group: the row whose doc_id names the group, once.  Rows without doc_id all stay."""
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     kept = settled(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    rows = docs.join(kept, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
+    rows = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id IS NULL"))
