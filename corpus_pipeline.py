@@ -1,7 +1,8 @@
 """From documents to a training mix, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and read again as the next one's docs.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``.  A stage deletes what the stages before it left in the shared folder, as their output
+has been written by then.
 
 1. quality      documents that the classifier scores below its threshold go (learned from labels whose crc32(doc_id) mod 5 is not 0)
 2. near_dups    one document of each group of SimHash near-duplicates stays, that with the smallest doc_id
@@ -19,22 +20,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, mixing, quality_fm, simhash_dedup, substring_dedup
-from quillgraph.llm.common import crc_mod, settled, table
+from quillgraph.llm.common import crc_mod, discard, settled, sweep, table
 
 #: The classifier, the mixing and the hashing have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     model = quality_fm.train(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
     return quality_fm.score(docs, model).where(F.col("score") >= quality_fm.THRESHOLD).select(*docs.columns)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return simhash_dedup.deduplicate(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     cut = substring_dedup.remove_repeats(docs)
     changed = F.col("n_removed") > 0
     cut = cut.where(~changed | (F.col("kept") != "")).withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
@@ -44,10 +48,12 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sweep(spark)
     return mixing.mix(docs).where("taken > 0")
 
 
@@ -57,5 +63,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, settled(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if hasattr(before, "settled_at"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
