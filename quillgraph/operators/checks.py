@@ -54,5 +54,5 @@ def dangling(edges: DataFrame, nodes: DataFrame, key: str, ends: tuple[str, ...]
 
 def page_coverage(pages: DataFrame, doc: str, page: str, expected: str) -> DataFrame:
     """doc, valid: whether the page numbers are exactly 1 to the expected number, in any order."""
-    g = pages.groupBy(doc).agg(F.count(page).alias("n"), F.countDistinct(page).alias("d"), F.min(page).alias("lo"), F.max(page).alias("hi"), F.max(expected).alias("want"))
-    return g.select(doc, ((F.col("n") == F.col("want")) & (F.col("d") == F.col("want")) & (F.col("lo") == 1) & (F.col("hi") == F.col("want"))).alias("valid"))
+    g = pages.groupBy(doc).agg(F.count(page).alias("_n"), F.countDistinct(page).alias("_distinct"), F.min(page).alias("_least"), F.max(page).alias("_most"), F.max(expected).alias("_want"))
+    return g.select(doc, ((F.col("_n") == F.col("_want")) & (F.col("_distinct") == F.col("_want")) & (F.col("_least") == 1) & (F.col("_most") == F.col("_want"))).alias("valid"))

@@ -71,11 +71,13 @@ def corrected(intents: DataFrame) -> DataFrame:
     """Intents with what their issues ask for: lost entities become hints, missing slots are added, terms come from entities, repeated terms go; ``changes`` says which."""
     empty = F.array().cast("array<string>")
     hints, slots, terms = F.coalesce("hints", empty), F.coalesce("slots", empty), F.coalesce("terms", empty)
-    new_hints = F.array_distinct(F.concat(hints, F.filter("entities", lambda e: ~F.array_contains(t.lower_unique(hints), F.lower(F.trim(e))))))
-    new_terms = t.lower_unique(F.when(F.size(terms) > 0, terms).otherwise(F.col("entities")))
-    new_slots = F.array_union(slots, F.col("needed"))
-    changes = F.array_compact(F.array(F.when(F.size(new_hints) > F.size(hints), F.lit("hints")), F.when(F.size(new_slots) > F.size(slots), F.lit("slots")), F.when(~F.coalesce(new_terms == terms, F.lit(False)), F.lit("terms"))))
-    return intents.withColumns({"changes": changes, "hints": new_hints, "slots": new_slots, "terms": new_terms})
+    # The keys of the known hints are made first, so that the filter compares plain columns.
+    out = intents.withColumns({"_keys": t.lower_unique(hints), "_asked": t.lower_unique(F.col("entities"))})
+    out = out.withColumn("_lost", F.filter("entities", lambda e: ~F.array_contains(F.col("_keys"), F.lower(F.trim(e)))))
+    out = out.withColumns({"_hints": F.array_distinct(F.concat(hints, "_lost")), "_slots": F.array_union(slots, F.col("needed")), "_terms": F.when(F.size(terms) > 0, t.lower_unique(terms)).otherwise(F.col("_asked"))})
+    changes = F.array_compact(F.array(F.when(F.size("_lost") > 0, F.lit("hints")), F.when(F.size("_slots") > F.size(slots), F.lit("slots")), F.when(~F.coalesce(F.col("_terms") == terms, F.lit(False)), F.lit("terms"))))
+    out = out.withColumn("changes", changes).withColumns({"hints": F.col("_hints"), "slots": F.col("_slots"), "terms": F.col("_terms")})
+    return out.drop("_keys", "_asked", "_lost", "_hints", "_slots", "_terms")
 
 
 def query_plan(intents: DataFrame) -> DataFrame:

@@ -92,7 +92,9 @@ def progress(docs: DataFrame, stages: list[str]) -> DataFrame:
 def decoded(content: Column) -> Column:
     """Text of a file: UTF-16 or UTF-8 by byte order mark, else UTF-8, else Windows-1252; null if its first 4 096 bytes hold a zero byte; line ends as line feeds."""
     head = F.hex(F.substring(content, 1, 3))
-    plain = F.decode(content, "windows-1252")
+    # Windows-1252 is Latin-1 but for its bytes 0x80 to 0x9F.
+    high = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    plain = F.translate(F.decode(content, "ISO-8859-1"), "".join(a for a, b in high if b), "".join(b for _, b in high if b))
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(plain)
     zero = F.contains(F.regexp_replace(F.hex(F.substring(content, 1, 4096)), "(..)", "$1 "), F.lit("00 "))
     text = F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(content, "UTF-16")).when(head == "EFBBBF", F.decode(F.substring(content, 4, 2147483647), "UTF-8")).when(zero, F.lit(None)).otherwise(utf8)
