@@ -218,7 +218,7 @@ def test_language(spark):
     rows = [(i, make(lang, 30), lang) for i, lang in enumerate(["en", "fr", "ru"] * 30)]
     rows += [(90, make("en", 40) + " " + make("ru", 20), "en"), (91, None, "fr"), (92, "", "fr"), (93, "12 34 !!", "en"), (94, make("fr", 20_000), None), (0, rows[0][1], "en"), (None, make("en", 9), "en")]
     docs = spark.createDataFrame([(i, x, lang, "clash") for i, x, lang in rows], "doc_id long, text string, lang string, score string")
-    model = language_id.train(docs, F.col("doc_id") % 3 != 1)
+    model = language_id.train(docs, F.col("doc_id") % 4 != 1)
     got = language_id.identify(docs, model).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows) and all(by[i].lang_pred == lang for i, _, lang in rows[:90])
