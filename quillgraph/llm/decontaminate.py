@@ -1,14 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, DataFrame operations only.
 
 A document is contaminated by an item of n words if one of its windows of n words has, with the item, a weighted Jaccard similarity of
-``similarity`` or more: shingles of ``shingle`` words (of all words, if the item has fewer), repeats counted.
+``similarity`` or more: shingles of ``shingle`` words (of all words, if the item has fewer), repeats counted.  A document of fewer words than
+the item is one window as a whole.
 
 1. Anchors.  Such a window shares all but u = m (1 - t) / (1 + t) of its m shingles with the item, so it has a run of at least
    (m - u) / (u + 1) shared ones in a row.  It is enough to look up every k-th shingle of a document, k the shortest such run of any item.
 2. Windows.  Every window that holds enough looked-up shingles of an item (all of the window but u) is a candidate, whatever the order of
    words within it; it gets a SimHash over its shingles.
 3. Search.  Fingerprints and items of one size meet on ``radius`` + 1 blocks of bits: two that differ in at most ``radius`` bits agree on one
-   block at least, so all fingerprints within the radius are found.
+   block at least, so all fingerprints within the radius are found.  A document shorter than the item goes to the proof at once.
 4. Proof.  The exact weighted similarity decides.
 
 The benchmark's shingles are broadcast only if they are counted to be at most ``MOST_BROADCAST``; beyond that the joins are by shuffle.
@@ -84,33 +85,39 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, step: int, shingles:
     sized = lambda df: small(df, shingles, MOST_BROADCAST)
     prints = settled(_fingerprints(weighted, ["item_id", "n"]), "prints")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words")).where("words IS NOT NULL").withColumn("size", F.size("words")).where(F.col("size") >= width)
-    # 1. Anchors: only ids, places and hashes leave the scan; most meet no item and end here.
+    # 1. Anchors: only ids, places and hashes leave the scan; most meet no item and end here.  A whole document of M < m shingles can reach the
+    # similarity if M >= t m; then (M - t m) / (1 + t) of its shingles at most are not the item's, and every k-th from the first on is enough.
+    spare = F.col("own") - similarity * F.col("m")
     looked = texts.select("doc_id", "size", F.posexplode(_shingles(F.col("words"), F.lit(0), F.col("size") - width, width, step)).alias("at", "h"))
-    hits = looked.join(sized(weighted.select("item_id", "n", "m", "u", "h")), "h").where(F.col("size") >= F.col("n"))
-    hits = settled(hits.select("doc_id", "size", "item_id", "n", "m", "u", (F.col("at") * step).alias("pos")).distinct(), "hits")
+    hits = looked.join(sized(weighted.select("item_id", "n", "m", "u", "h")), "h").withColumn("own", F.least("n", "size") - width + 1)
+    hits = hits.where((F.col("own") == F.col("m")) | (spare >= -1e-9)).withColumn("u", F.when(F.col("own") == F.col("m"), F.col("u")).otherwise(F.floor(spare / (1 + similarity) + 1e-9).cast("int")))
+    hits = settled(hits.select("doc_id", "size", "item_id", "n", "m", "own", "u", (F.col("at") * step).alias("pos")).distinct(), "hits")
     # 2. Windows that hold enough of them: of the looked-up shingles of a window, at most u are not the item's.
-    first, last = F.greatest(F.lit(0), F.col("pos") - F.col("m") + 1), F.least(F.col("pos"), F.col("size") - F.col("n"))
-    opened = hits.where(first <= last).select("doc_id", "item_id", "n", "m", "u", F.explode(F.sequence(first, last)).alias("start"))
-    asked = F.ceil((F.col("start") + F.col("m")) / F.lit(step)) - F.ceil(F.col("start") / F.lit(step))
-    enough = opened.groupBy("doc_id", "item_id", "n", "m", "u", "start").agg(F.count("*").alias("found")).where(F.col("found") >= F.greatest(F.lit(1), asked - F.col("u")))
-    windows = enough.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "m")).alias("windows"))
+    first, last = F.greatest(F.lit(0), F.col("pos") - F.col("own") + 1), F.greatest(F.lit(0), F.least(F.col("pos"), F.col("size") - F.col("n")))
+    opened = hits.where(first <= last).select("doc_id", "item_id", "n", "m", "own", "u", F.explode(F.sequence(first, last)).alias("start"))
+    asked = F.ceil((F.col("start") + F.col("own")) / F.lit(step)) - F.ceil(F.col("start") / F.lit(step))
+    enough = opened.groupBy("doc_id", "item_id", "n", "m", "own", "u", "start").agg(F.count("*").alias("found")).where(F.col("found") >= F.greatest(F.lit(1), asked - F.col("u")))
+    enough = settled(enough.select("doc_id", "item_id", "start", "n", "m", "own"), "enough")
+    windows = enough.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "m", "own")).alias("windows"))
     # Texts are shuffled as they are, and cut to words behind the join.
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     read = plain.join(windows.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).withColumn("words", _words(F.col("text")))
-    cut = read.select("doc_id", F.explode(F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), w["m"].alias("m"), _shingles(F.col("words"), w["start"], w["start"] + w["m"] - 1, width).alias("hashes")))).alias("w"))
-    cut = settled(cut.select("doc_id", "w.start", "w.n", "w.m", "w.hashes").distinct(), "windows")
-    pieces = cut.select("doc_id", "start", "n", F.explode("hashes").alias("h")).withColumn("w", F.lit(1))
+    whole = F.filter("windows", lambda w: (w["own"] == w["m"]) | (w["own"] == F.size("words") - width + 1))
+    cut = read.select("doc_id", F.explode(F.transform(whole, lambda w: F.struct(*[w[c].alias(c) for c in ("start", "n", "m", "own")], _shingles(F.col("words"), w["start"], w["start"] + w["own"] - 1, width).alias("hashes")))).alias("w"))
+    cut = settled(cut.select("doc_id", "w.start", "w.n", "w.m", "w.own", "w.hashes").distinct(), "windows")
+    pieces = cut.where("own = m").select("doc_id", "start", "n", F.explode("hashes").alias("h")).withColumn("w", F.lit(1))
     marked = settled(_fingerprints(pieces, ["doc_id", "start", "n"]), "marked")
     # 3. Search by blocks.
     near = marked.select("doc_id", "start", "n", "fp", F.explode(_blocks(radius)).alias("b")).select("doc_id", "start", "n", "fp", "b.block", "b.bits")
     known = prints.withColumn("item_fp", F.col("fp")).select("item_id", "n", "item_fp", F.explode(_blocks(radius)).alias("b")).select("item_id", "n", "item_fp", "b.block", "b.bits")
-    met = near.join(sized(known), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("doc_id", "start", "n", "item_id").distinct()
+    met = near.join(sized(known), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("doc_id", "start", "n", "item_id", (F.col("n") - width + 1).alias("own")).distinct()
+    met = met.unionByName(enough.where("own < m").select("doc_id", "start", "n", "item_id", "own"))
     # 4. Proof: the weight that both have, over the weight that either has.
-    pairs = met.join(cut, ["doc_id", "start", "n"]).select("doc_id", "start", "n", "m", "item_id", F.explode(_counted("hashes")).alias("s")).select("doc_id", "start", "n", "m", "item_id", "s.h", F.col("s.w").alias("own"))
-    both = pairs.join(sized(weighted.select("item_id", "h", "w")), ["item_id", "h"]).groupBy("doc_id", "start", "n", "m", "item_id").agg(F.sum(F.least("own", "w")).alias("both"))
-    scored = both.withColumn("similarity", F.col("both") / (2 * F.col("m") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
+    pairs = met.join(cut, ["doc_id", "start", "n", "own"]).select("doc_id", "start", "m", "own", "item_id", F.explode(_counted("hashes")).alias("s")).select("doc_id", "start", "m", "own", "item_id", "s.h", F.col("s.w").alias("held"))
+    both = pairs.join(sized(weighted.select("item_id", "h", "w")), ["item_id", "h"]).groupBy("doc_id", "start", "m", "own", "item_id").agg(F.sum(F.least("held", "w")).alias("both"))
+    scored = both.withColumn("similarity", F.col("both") / (F.col("m") + F.col("own") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
     best = F.row_number().over(W.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "start"))
-    return scored.withColumn("_rank", best).where("_rank = 1").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "similarity", "start", F.col("n").alias("n_words"))
+    return scored.withColumn("_rank", best).where("_rank = 1").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "similarity", "start", (F.col("own") + width - 1).alias("n_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -372,6 +372,31 @@ def test_decontamination(spark):
     assert decontaminate.matches(documents(spark, []), spark.createDataFrame(items, "item_id long, text string")).isEmpty()
 
 
+def test_decontamination_of_documents_shorter_than_items(spark):
+    rng = random.Random(13)
+    items = [(i, prose(rng, n, 3000)) for i, n in enumerate([16, 25, 40, 9, 14, 60])] + [(6, " ".join(["a b c d e"] * 4))]
+    texts = []
+    for i, y in items:
+        v = y.split()
+        for cut in range(1, len(v) // 4 + 2):
+            changed = [rng.choice(["x", v[0]]) if rng.random() < 0.03 else w for w in v]
+            texts += [(len(texts) + k, " ".join(w)) for k, w in enumerate([v[:-cut], v[cut:], v[cut // 2 : len(v) - (cut - cut // 2)], changed[:-cut]])]
+    assert all(len(x.split()) < 60 for _, x in texts)
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start, r.n_words) for r in decontaminate.matches(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect() if len(texts[r.doc_id][1].split()) < len(items[r.item_id][1].split())}
+    shingles = lambda z: collections.Counter(tuple(z[p : p + 5]) for p in range(len(z) - 4))
+    want = {}
+    for d, x in texts:
+        for i, y in items:
+            w, v = x.split(), y.split()
+            if len(w) < len(v):
+                a, b = shingles(w), shingles(v)
+                both = sum((a & b).values())
+                if both / (a.total() + b.total() - both) >= 0.8 - 1e-12:
+                    want[d, i] = (round(both / (a.total() + b.total() - both), 9), 0, len(w))
+    assert got == want and len(want) > 20
+    assert want[0, 0][0] == round(11 / 12, 9)
+
+
 # --- 9 warc
 
 
