@@ -66,6 +66,13 @@ def test_contradiction_rules(spark):
     assert [x[0] for x in found(spark, (*long, "a1", "GROUNDED", "c"), ("seven eight nine ten eleven", "", 0.8, "k", "a2", "GROUNDED", "c"))] == ["CROSS_ARTIFACT_ENTITY"]
 
 
+def test_entity_pairs_are_not_cut(spark):
+    same = [(f"alpha beta gamma delta epsilon n{i}", "", 0.9, "k", "a1", "GROUNDED", "c") for i in range(25)]
+    other = ("one two three four five six", "", 0.5, "k", "a2", "GROUNDED", "c")
+    w = spark.createDataFrame([(f"w{i}", "", "V", *p) for i, p in enumerate([*same, other])], W)
+    assert rows(conflict.contradictions(w), "rule", "weaker_uid") == [("CROSS_ARTIFACT_ENTITY", "w25")] * 25
+
+
 def test_clusters_and_writes(spark):
     c = spark.createDataFrame([("a", "b", "c1", None, "R", "rebutting", 0.5, "a"), ("a", "d", "c1", None, "R", "rebutting", 0.7, "a")], "uid_a string, uid_b string, claim_a string, claim_b string, rule string, defeater_type string, confidence double, weaker_uid string")
     assert rows(conflict.clusters(c), "cluster", "size", "confidence") == [("c1", 2, 0.7)]
