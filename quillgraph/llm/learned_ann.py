@@ -196,6 +196,9 @@ def _block(k: int):
         qs, xs, out = _matrix(left.column("qv").combine_chunks()), _matrix(right.column("v").combine_chunks()), []
         q_ids, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
         if len(qs) and len(xs):
+            # Places of a block are counted over ids: the rows of one vec_id side by side, and the first of each.
+            by_id = np.argsort(ids, kind="stable")
+            firsts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
             scaled = xs / np.abs(xs).max(1, keepdims=True)
             unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
             for a in range(0, len(qs), 256):
@@ -204,7 +207,8 @@ def _block(k: int):
                 for i, row in enumerate(rough):
                     scale = np.linalg.norm(q[i] / np.abs(q[i]).max())
                     row = np.where(ids == q_ids[a + i], -np.inf, row / scale)
-                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    top = np.maximum.reduceat(row[by_id], firsts)
+                    least = np.partition(top, -k)[-k] if len(top) > k else -np.inf
                     hit = np.flatnonzero((row >= least - 1e-9) & (row > -np.inf))
                     exact = cosines(q[i], xs[hit])
                     best = np.lexsort((ids[hit], -exact))

@@ -471,3 +471,10 @@ def test_few_and_equal_neighbours(spark):
     few = learned_ann.nearest(df.where("vec_id < 103"), F.col("vec_id") == 100).collect()
     assert len(few) == 2
     assert learned_ann.nearest(df.where("FALSE"), F.lit(True)).isEmpty()
+
+
+def test_nearest_counts_repeated_rows_once(spark):
+    angles = [(0, 0.0), *[(1, 0.01 * i) for i in range(1, 7)], (2, 0.2), (2, 0.21), (3, 0.3), (4, 0.4), (5, 0.5), (6, 0.6)]
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in angles]
+    got = learned_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).collect()
+    assert [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r["rank"])] == [(i, round(float(np.cos(a)), 9)) for i, a in [(1, 0.01), (2, 0.2), (3, 0.3), (4, 0.4), (5, 0.5)]]
