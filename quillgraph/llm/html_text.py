@@ -5,7 +5,8 @@ are summed; the node with the largest sum holds the article.  The threshold is t
 the nodes that reach it the maximum-sum subtree is taken, and siblings that reach it beside a node outside any landmark are kept with it.
 
 Parts that are no article whatever their density (menus, page heads and feet, sidebars, forms, notices, adverts, comments, scripts) are pruned
-by tag, role, class and id before densities are computed.  If the chosen node lies within article or main, all of that landmark is the text.
+by tag, role, class and id before densities are computed.  A class or id alone does not prune what holds main or h1, an article at least as long
+as all text that no class prunes, or most of the text outside links (unless it names a discussion).  If the chosen node lies within article or main, all of that landmark is the text.
 
 Defined results: null or empty html has an empty text; html without markup is one block; a page that ends anywhere, even within a tag or a
 character reference, is read as far as it goes; repeated rows are extracted each by itself; columns beyond page_id, url and html are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select".split())
-PRUNED = frozenset("nav footer aside form button dialog menu head script style noscript iframe template svg math object select textarea title canvas audio video figcaption fieldset label input".split())
+PRUNED = frozenset("nav footer aside form button dialog menu head script style noscript iframe template svg math object select textarea title canvas audio video input".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -37,6 +38,8 @@ BOILERPLATE = re.compile(
     r"|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|widget\w*|related|recommend\w*|share|sharing|social\w*|comments?|commentlist|replies|respond|disqus|discussion"
     r"|footer|foot|header|masthead|topbar|toolbar|copyright|legal|disclaimer|skip\w*|tags?|byline\w*|search\w*|rail)(?:$|[\s_-])"
 )
+#: Of these, what may hold most of a page's text without being its article.
+DISCUSSION = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|respond|disqus|discussion)(?:$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(\bhidden\b)")
@@ -45,28 +48,33 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False) -> None:
         self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
+        self.named = ""
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _boilerplate(tag: str, attrs: str, landmark: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, landmark: bool) -> tuple[bool, str]:
+    """Whether an element goes whatever it holds, and the class or id by which it may go."""
+    named = ""
     if tag in PRUNED:
-        return True
+        return True, named
     if tag == "header" and not landmark:
-        return True
+        return True, named
     if not attrs or tag in ("html", "body"):
-        return False
+        return False, named
     for name, value, hidden in ATTR.findall(attrs):
         value, name = value.strip("\"'").lower(), name.lower()
-        if hidden or (name == "hidden") or (name in ("class", "id") and tag not in LANDMARKS | {"h1", "p"} and BOILERPLATE.search(value)) or (name in ("class", "id") and tag in ("article", "p", "section") and re.search(r"\bcomment|\bad\b|advert|sponsor|cookie", value)):
-            return True
+        if hidden or (name == "hidden") or (name in ("class", "id") and tag in ("article", "p", "section") and re.search(r"\bcomment|\bad\b|advert|sponsor|cookie", value)):
+            return True, named
         if (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
-            return True
-    return False
+            return True, named
+        if name in ("class", "id") and tag not in LANDMARKS | {"h1", "p"} and BOILERPLATE.search(value):
+            named += f" {value}"
+    return False, named
 
 
 def parse(text: str) -> Node:
@@ -112,7 +120,9 @@ def parse(text: str) -> Node:
             while node.tag in ("td", "th") or (tag == "tr" and node.tag == "tr"):
                 node = here = node.parent
         landmark = any(True for n in _up(here) if n.tag in LANDMARKS) if tag == "header" else False
-        node = Node(tag, here, _boilerplate(tag, attrs, landmark))
+        drop, named = _boilerplate(tag, attrs, landmark)
+        node = Node(tag, here, drop)
+        node.named = named
         here.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
@@ -141,6 +151,33 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def prune(root: Node) -> Node:
+    """Drop the nodes that go by their class or id, but none that holds the article."""
+    nodes = _walk(root)
+    if not any(n.named for n in nodes):
+        return root
+    talk = {id(n) for n in nodes if DISCUSSION.search(n.named)}
+    own = {id(n): sum(len(x.strip()) for x in n.children if isinstance(x, str)) for n in nodes}
+
+    def plain(skip) -> dict[int, int]:
+        """Characters outside links of every subtree, without those of nodes to skip."""
+        out: dict[int, int] = {}
+        for n in reversed(nodes):
+            out[id(n)] = 0 if n.tag == "a" or skip(n) else own[id(n)] + sum(out[id(x)] for x in n.children if isinstance(x, Node) and not x.drop)
+        return out
+
+    unnamed = plain(lambda n: bool(n.named))[id(root)]
+    most = plain(lambda n: id(n) in talk)
+    every = most[id(root)]
+    holds: dict[int, bool] = {}
+    for n in reversed(nodes):
+        inside = any(holds[id(x)] for x in n.children if isinstance(x, Node) and id(x) in holds and not x.drop)
+        if n.named and not inside and (id(n) in talk or 2 * most[id(n)] <= every):
+            n.drop = True
+        holds[id(n)] = inside or (n.tag in ("main", "h1") and most[id(n)] > 0) or (n.tag == "article" and most[id(n)] > 0 and most[id(n)] >= unnamed)
+    return root
+
+
 def measure(nodes: list[Node]) -> None:
     """Characters, tags, link characters and link tags of every subtree; densities; sums of the children's densities."""
     for node in reversed(nodes):
@@ -221,7 +258,7 @@ def blocks(tops: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(blocks(chosen(parse(page)))) if page else ""
+    return "\n".join(blocks(chosen(prune(parse(page))))) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -478,3 +478,16 @@ def test_nearest_counts_repeated_rows_once(spark):
     rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in angles]
     got = learned_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).collect()
     assert [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r["rank"])] == [(i, round(float(np.cos(a)), 9)) for i, a in [(1, 0.01), (2, 0.2), (3, 0.3), (4, 0.4), (5, 0.5)]]
+
+
+def test_wrappers_of_the_article_are_not_boilerplate():
+    text = " ".join(["The article is told in many plain words."] * 6)
+    side = "<div class='sidebar'><p>Elsewhere on this site</p></div>"
+    for name in ["content with-sidebar", "page no-sidebar", "site has-header", "layout-right-rail", "entry-content share"]:
+        for inner in [f"<article><p>{text}</p></article>", f"<main><p>{text}</p></main>", f"<p>{text}</p><p>{text}</p>"]:
+            got = html_text.main_text(f"<html><body><div class='{name}'>{inner}{side}</div><div class='footer'>About us</div></body></html>")
+            assert text in got and "Elsewhere" not in got and "About" not in got, (name, inner)
+    page = f"<body><div><p>{text}</p></div><div class='comments'><p>{'I do not agree. ' * 200}</p></div><div class='related'><article><p>Teaser</p></article></div></body>"
+    assert html_text.main_text(page) == text
+    held = html_text.main_text(f"<article><p>{text}</p><figure><figcaption>A view of the town</figcaption></figure><fieldset>Set <label>of words</label></fieldset></article>")
+    assert held.split("\n") == [text, "A view of the town", "Set of words"]
