@@ -1,15 +1,20 @@
 """Main text of HTML pages by composite text density.
 
-Every DOM node has a density: its characters per tag, adjusted for the share of its text that is link text.  The densities of a node's children
-are summed; the node with the largest sum holds the article.  The threshold is the smallest density on the path from body to that node: among
-the nodes that reach it the maximum-sum subtree is taken, and siblings that reach it beside a node outside any landmark are kept with it.
+1. Density.  Every DOM node has its characters per tag, adjusted for the share of its text that is link text.
+2. Sums.  The densities of a node's children are summed; the node with the largest sum holds the article (``densest``).
+3. Threshold.  The smallest density on the path from body to that node, and of the nodes that reach it the one with the largest sum.
+4. Widening.  From that node upwards to body, what stands beside the path is kept if it reaches the threshold, holds a heading or is prose
+   (``kept_beside``); within an article or main nothing is left out but what its links or its class show to be none of it.
 
-Parts that are no article whatever their density (menus, page heads and feet, sidebars, forms, notices, adverts, comments, scripts) are pruned
-by tag, role, class and id before densities are computed.  A class or id alone does not prune what holds main or h1, an article at least as long
-as all text that no class prunes, or most of the text outside links (unless it names a discussion).  If the chosen node lies within article or main, all of that landmark is the text.
+Parts that are no article whatever their density (menus, page heads and feet, sidebars, forms, notices, adverts, reader comments, scripts) go
+before densities are computed, by tag, role, attribute or class.  A class or id alone does not prune what holds main or h1, an article at least
+as long as all text that no class prunes, or most of the text outside links (unless it names a discussion); nor does the tag form.
+
+Tags, attributes, comments and the ends that a start tag implies are read by the rules of the HTML standard, in time linear in the page.
 
 Defined results: null or empty html has an empty text; html without markup is one block; a page that ends anywhere, even within a tag or a
-character reference, is read as far as it goes; repeated rows are extracted each by itself; columns beyond page_id, url and html are ignored.
+character reference, is read as far as it goes; equal sums go to the outer node that comes first; repeated rows are extracted each by itself;
+columns beyond page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,215 +30,314 @@ from pyspark.sql import DataFrame
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select".split())
-PRUNED = frozenset("nav footer aside form button dialog menu head script style noscript iframe template svg math object select textarea title canvas audio video input".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+PRUNED = frozenset("nav footer aside button dialog menu head noscript template svg math object select canvas audio video input".split()) | RAW
+FOREIGN = frozenset({"svg", "math"})
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that a new block start closes when they are still open, and those that bound the search for them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LANDMARKS = frozenset({"article", "main"})
+#: Start tags that close an open p, and elements that bound the search for what an end tag or an implied end closes.
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 SCOPE = frozenset("table td th caption html body article section div main aside nav header footer blockquote form ul ol".split())
-LANDMARKS = frozenset({"article", "main"})
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login"
-    r"|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|widget\w*|related|recommend\w*|share|sharing|social\w*|comments?|commentlist|replies|respond|disqus|discussion"
-    r"|footer|foot|header|masthead|topbar|toolbar|copyright|legal|disclaimer|skip\w*|tags?|byline\w*|search\w*|rail)(?:$|[\s_-])"
-)
+#: A node of these holds blocks; any other stands for the nearest one above it.
+HOLDERS = frozenset("html body div section article main td center blockquote form header hgroup #root".split())
+
+#: Parts of a class or id that name what is no article.
+HARD = frozenset(
+    "ad ads advert advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login"
+    " nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar widget widgets related recommended recommendations share sharing social".split()
+)
 #: Of these, what may hold most of a page's text without being its article.
-DISCUSSION = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|respond|disqus|discussion)(?:$|[\s_-])")
+TALK = frozenset("comment comments commentlist replies respond disqus discussion".split())
+#: Parts that name a page's frame, but also the head and foot of an article.
+SOFT = frozenset("header masthead topbar toolbar footer foot legal disclaimer copyright skip tags tag byline search rail side meta".split())
+#: A class that begins so speaks of the layout.
+LAYOUT = frozenset("with no has without is not".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
-ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(\bhidden\b)")
+
+_VALUE = r"(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)"
+_ATTRIBUTE = rf"[^\s/>][^\s/>=]*+(?>\s*+=\s*+{_VALUE}?+)?+"
+TOKEN = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)", re.S
+)
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?>\s*+=\s*+({_VALUE})?+)?+", re.S)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
+PROSE_CHARS = 80
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
-
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False) -> None:
-        self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
-        self.named = ""
-        self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.density = self.sum = 0.0
-
-
-def _boilerplate(tag: str, attrs: str, landmark: bool) -> tuple[bool, str]:
-    """Whether an element goes whatever it holds, and the class or id by which it may go."""
-    named = ""
-    if tag in PRUNED:
-        return True, named
-    if tag == "header" and not landmark:
-        return True, named
-    if not attrs or tag in ("html", "body"):
-        return False, named
-    for name, value, hidden in ATTR.findall(attrs):
-        value, name = value.strip("\"'").lower(), name.lower()
-        if hidden or (name == "hidden") or (name in ("class", "id") and tag in ("article", "p", "section") and re.search(r"\bcomment|\bad\b|advert|sponsor|cookie", value)):
-            return True, named
-        if (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
-            return True, named
-        if name in ("class", "id") and tag not in LANDMARKS | {"h1", "p"} and BOILERPLATE.search(value):
-            named += f" {value}"
-    return False, named
+    """``hard``, ``talk`` and ``soft`` say what a class or id names; ``subs`` are the children that are nodes."""
+
+    drop = hard = talk = soft = headed = False
+    own = chars = link_chars = tags = link_tags = 0
+    density = sum = 0.0
+
+    def __init__(self, tag: str, parent: Node | None) -> None:
+        self.tag, self.parent, self.children, self.subs = tag, parent, [], []
+
+    def kids(self) -> list[Node]:
+        return [x for x in self.subs if not x.drop]
+
+
+def _names(node: Node, value: str) -> None:
+    for token in value.lower().split():
+        parts = [x for x in re.split(r"[-_:]+", token) if x]
+        if parts and parts[0] not in LAYOUT:
+            ends = {parts[0], parts[-1], token}
+            node.talk |= bool(ends & TALK)
+            node.hard |= bool(ends & HARD)
+            node.soft |= bool(ends & SOFT)
+
+
+def _describe(node: Node, attrs: str, in_landmark: bool) -> None:
+    tag = node.tag
+    if tag in PRUNED or (tag == "header" and not in_landmark):
+        node.drop = True
+    elif tag == "form":
+        node.hard = True
+    if not attrs or tag in ("html", "body") or node.drop:
+        return
+    for name, value in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), html.unescape(value.strip("\"'") if value[:1] in "\"'" else value)
+        if name == "hidden" or (name == "role" and value.strip().lower() in ROLES) or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and HIDDEN.search(value)):
+            node.drop = True
+        elif name in ("class", "id"):
+            _names(node, value)
 
 
 def parse(text: str) -> Node:
-    """A tree of nodes; the children of a node are nodes and strings.  Character references stay as they are."""
+    """A tree of nodes; the children of a node are nodes and strings, with character references decoded."""
     root = Node("#root", None)
-    at, here, end = 0, root, len(text)
-    landmarks = 0
+    stack, at, end = [root], 0, len(text)
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements by tag
+    scopes, blocks, landmarks = [0], [0], 0
+
+    def pop(to: int) -> None:
+        nonlocal landmarks
+        while len(stack) > to:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+            if tag in BLOCKS:
+                blocks.pop()
+            landmarks -= tag in LANDMARKS
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def add(piece: str) -> None:
+        if piece:
+            stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
+
     while at < end:
         m = TOKEN.search(text, at)
         if m is None:
-            cut = text.find("<", at)
-            tail = text[at:] if cut < 0 or not re.match(r"</?[a-zA-Z]", text[cut : cut + 3]) else text[at:cut]
-            here.children.append(tail)
+            add(text[at:])
             break
-        if m.start() > at:
-            here.children.append(text[at : m.start()])
+        add(text[at : m.start()])
         at = m.end()
-        tag = m[2] or m[6]
-        if tag is None:
+        if m["tag"] is None:
             continue
-        tag, closing, attrs = tag.lower(), m[1] or m[5], m[3] or ""
-        if closing:
-            node = here
-            while node is not None and node.tag != tag:
-                # The end of an inline element does not reach over an open block, nor that of p over a container.
-                if node.tag in (SCOPE if tag not in SCOPE else {"#root"}) or (tag not in BLOCKS and node.tag in BLOCKS):
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+        tag, attrs = m["tag"].lower(), m["attrs"]
+        if m["close"]:
+            # An end tag does not reach over a container, that of an inline element not over any block.
+            bound = 0 if tag in SCOPE else scopes[-1] if tag in BLOCKS else blocks[-1]
+            if last(tag) > bound:
+                pop(last(tag))
             continue
-        if tag in CLOSES_P:
-            node = here
-            while node.parent is not None and node.tag not in SCOPE and node.tag != "p" and not (tag == "li" and node.tag == "li"):
-                node = node.parent
-            if node.tag == "p" or (tag == "li" and node.tag == "li"):
-                here = node.parent
-        elif tag in ("td", "th", "tr"):
-            node = here
-            while node.parent is not None and node.tag not in ("td", "th", "tr", "table"):
-                node = node.parent
-            while node.tag in ("td", "th") or (tag == "tr" and node.tag == "tr"):
-                node = here = node.parent
-        landmark = any(True for n in _up(here) if n.tag in LANDMARKS) if tag == "header" else False
-        drop, named = _boilerplate(tag, attrs, landmark)
-        node = Node(tag, here, drop)
-        node.named = named
-        here.children.append(node)
+        if tag in CLOSES_P or tag in ("td", "th", "tr", "table"):
+            if (foreign := last(*FOREIGN)) > scopes[-1]:
+                pop(foreign)
+            closed = [last("p")] + ([last("li")] if tag == "li" else [last("dt"), last("dd")] if tag in ("dt", "dd") else [])
+            closed = [x for x in closed if x > scopes[-1]]
+            if closed and tag in CLOSES_P:
+                pop(min(closed))
+            elif tag in ("td", "th") and last("td", "th") > last("table", "tr"):
+                pop(last("td", "th"))
+            elif tag == "tr" and (row := max(last("tr"), 0)) > last("table"):
+                pop(row)
+        node = Node(tag, stack[-1])
+        _describe(node, attrs, landmarks > 0)
+        stack[-1].children.append(node)
+        stack[-1].subs.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
-            if tag not in ("object", "select", "svg", "math", "noscript", "template"):
-                body = text[at : close.start()] if close else text[at:]
-                node.children.append(body)
-            at = close.end() if close else (end if tag in ("script", "style", "title", "textarea") else at)
-        elif tag not in VOID and not m[4]:
-            here = node
+            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(text, at)
+            at = close.end() if close else end
+        elif tag not in VOID and not (attrs.endswith("/") and last(*FOREIGN)):
+            places[tag].append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            landmarks += tag in LANDMARKS
+            stack.append(node)
     return root
 
 
-def _up(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _walk(root: Node) -> list[Node]:
-    """Nodes before their children, without pruned ones."""
+def walk(root: Node) -> list[Node]:
+    """Nodes before their children, in page order, without pruned ones."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack += [x for x in reversed(node.children) if isinstance(x, Node) and not x.drop]
+        stack += reversed(node.kids())
     return out
 
 
 def prune(root: Node) -> Node:
     """Drop the nodes that go by their class or id, but none that holds the article."""
-    nodes = _walk(root)
-    if not any(n.named for n in nodes):
+    nodes = walk(root)
+    if not any(n.hard or n.talk for n in nodes):
         return root
-    talk = {id(n) for n in nodes if DISCUSSION.search(n.named)}
-    own = {id(n): sum(len(x.strip()) for x in n.children if isinstance(x, str)) for n in nodes}
+    for n in nodes:
+        n.own = sum(len(x.strip()) for x in n.children if isinstance(x, str))
 
     def plain(skip) -> dict[int, int]:
         """Characters outside links of every subtree, without those of nodes to skip."""
         out: dict[int, int] = {}
         for n in reversed(nodes):
-            out[id(n)] = 0 if n.tag == "a" or skip(n) else own[id(n)] + sum(out[id(x)] for x in n.children if isinstance(x, Node) and not x.drop)
+            out[id(n)] = 0 if n.tag == "a" or skip(n) else n.own + sum(out[id(x)] for x in n.kids())
         return out
 
-    unnamed = plain(lambda n: bool(n.named))[id(root)]
-    most = plain(lambda n: id(n) in talk)
+    outside = plain(lambda n: n.hard or n.talk)
+    unnamed = outside[id(root)]
+    most = plain(lambda n: n.talk)
+    own = plain(lambda n: False)
+    # Where something that is not named so is marked as the article, what is named so is not it, however long.
+    reached, stack = [], [root]
+    while stack:
+        reached.append(n := stack.pop())
+        stack += [x for x in n.kids() if x.tag == "form" or not (x.hard or x.talk)]
+    marked = any(outside[id(n)] > 0 and (n.tag in LANDMARKS or n.tag == "h1") for n in reached)
     every = most[id(root)]
     holds: dict[int, bool] = {}
     for n in reversed(nodes):
-        inside = any(holds[id(x)] for x in n.children if isinstance(x, Node) and id(x) in holds and not x.drop)
-        if n.named and not inside and (id(n) in talk or 2 * most[id(n)] <= every):
+        inside = any(holds.get(id(x), False) for x in n.kids())
+        if (n.hard or n.talk) and not inside and (n.talk or marked or 2 * most[id(n)] <= every):
             n.drop = True
-        holds[id(n)] = inside or (n.tag in ("main", "h1") and most[id(n)] > 0) or (n.tag == "article" and most[id(n)] > 0 and most[id(n)] >= unnamed)
+        holds[id(n)] = not n.drop and (inside or (n.tag in ("main", "h1") and own[id(n)] > 0) or (n.tag == "article" and most[id(n)] > 0 and most[id(n)] >= unnamed))
     return root
 
 
 def measure(nodes: list[Node]) -> None:
     """Characters, tags, link characters and link tags of every subtree; densities; sums of the children's densities."""
     for node in reversed(nodes):
-        own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
-        kids = [x for x in node.children if isinstance(x, Node) and not x.drop]
-        node.chars = own + sum(x.chars for x in kids)
-        node.tags = len(kids) + sum(x.tags for x in kids)
-        link = node.tag == "a"
-        node.link_chars = node.chars if link else sum(x.link_chars for x in kids)
-        node.link_tags = node.tags + 1 if link else sum(x.link_tags for x in kids)
+        c, t, lc, lt, headed = 0, 0, 0, 0, node.tag in HEADINGS
+        for x in node.children:
+            if isinstance(x, str):
+                c += len(SPACE.sub(" ", x).strip())
+            elif not x.drop:
+                c, t, lc, lt, headed = c + x.chars, t + 1 + x.tags, lc + x.link_chars, lt + x.link_tags, headed or x.headed
+        if node.tag == "a":
+            lc, lt = c, t + 1
+        node.chars, node.tags, node.link_chars, node.link_tags, node.headed = c, t, lc, lt, headed
     top = nodes[0]
     share = top.link_chars / top.chars if top.chars else 0.0
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
         if c:
-            rest = max(c - lc, 1)
-            base = math.log(c / rest * max(lc, 1) + share * c + math.e)
+            base = math.log(c / max(c - lc, 1) * max(lc, 1) + share * c + math.e)
             node.density = c / t * max(0.0, math.log(c / max(lc, 1) * t / max(lt, 1), base))
-        node.sum = sum(x.density for x in node.children if isinstance(x, Node) and not x.drop)
+        if node.subs:
+            node.sum = sum(x.density for x in node.subs if not x.drop)
+
+
+def path(node: Node, top: Node) -> list[Node]:
+    """From a node up to ``top``."""
+    out = [node]
+    while out[-1] is not top:
+        out.append(out[-1].parent)
+    return out
+
+
+def densest(nodes: list[Node]) -> tuple[Node, float]:
+    """The maximum-sum subtree among the nodes that reach the threshold, and the threshold; ``nodes`` starts with body and is measured."""
+    body = nodes[0]
+    best = max(nodes, key=lambda n: n.sum)
+    if best.sum <= 0:
+        return body, body.density
+    threshold = min(n.density for n in path(best, body))
+    return max((n for n in nodes if n.density >= threshold), key=lambda n: n.sum), threshold
+
+
+def _linked(node: Node) -> bool:
+    """A block that is mostly links."""
+    return node.tag in BLOCKS and node.tag not in HEADINGS and node.link_tags > 0 and node.link_chars * (2 if node.soft or node.tag != "p" else 1) > node.chars - 1
+
 
+def _prose(node: Node) -> bool:
+    end = node
+    while isinstance(end, Node):
+        end = next((x for x in reversed(end.children) if (not x.drop and x.chars if isinstance(x, Node) else x.strip())), "")
+    return node.chars - node.link_chars >= PROSE_CHARS and 2 * node.link_chars <= node.chars and bool(SENTENCE.search(end))
 
-def chosen(root: Node) -> list[Node]:
-    """The subtrees whose text is the main text, in page order."""
-    nodes = _walk(root)
-    body = next((n for n in nodes if n.tag == "body"), root)
-    nodes = _walk(body)
+
+def kept_beside(node: Node, threshold: float, landmark: bool) -> bool:
+    """Whether a node beside the path from the article's node to body is part of the article."""
+    if not node.chars or _linked(node):
+        return False
+    if landmark:
+        return True
+    if node.soft and not node.headed:
+        return False
+    return node.tag in HEADINGS | {"header", "hgroup"} or (node.tag in BLOCKS and (node.density >= threshold or _prose(node) or (node.headed and any(x.tag == "h1" for x in walk(node)))))
+
+
+def chosen(root: Node) -> list[Node | str]:
+    """The subtrees (and texts beside them) that are the main text, in page order; what they hold and is none of it is dropped."""
+    body = next((n for n in walk(root) if n.tag == "body"), root)
+    nodes = walk(body)
     measure(nodes)
     if not body.chars:
         return []
-    best = max(nodes, key=lambda n: n.sum) if any(n.sum > 0 for n in nodes) else body
-    threshold = min(n.density for n in _up(best) if n is body or _inside(n, body))
-    best = max((n for n in nodes if n.density >= threshold and n.sum >= 0), key=lambda n: (n.sum, n.density), default=body)
-    landmark = [n for n in _up(best) if n.tag in LANDMARKS]
-    if landmark:
-        return [landmark[-1]]
-    inner = [n for n in nodes if n.tag in LANDMARKS and n.chars]
+    best, threshold = densest(nodes)
+    # A landmark below the node whose text outside links is most of the node's is its article.
+    inner = [n for n in walk(best) if n.tag in LANDMARKS and 2 * (n.chars - n.link_chars) > best.chars - best.link_chars]
     if inner:
-        return [max(inner, key=lambda n: n.chars)] if best is body or any(_inside(n, best) for n in inner) else [best]
-    if best is body or best.parent is None:
-        return [best]
-    return [x for x in best.parent.children if isinstance(x, Node) and not x.drop and (x is best or (x.tag in BLOCKS and x.chars and x.density >= threshold))]
+        best = inner[-1]
+    up = path(best, body)
+    marks = [i for i, n in enumerate(up) if n.tag in LANDMARKS]
+    holder = next((i for i, n in enumerate(up) if n.tag in HOLDERS), len(up) - 1)
+    out: list[Node | str] = [up[holder]]
+    _tidy(up[holder], bool(marks), threshold)
+    for i in range(holder + 1, len(up)):
+        if marks and i > marks[-1]:
+            break
+        parent, below, landmark = up[i], up[i - 1], bool(marks) and i <= marks[-1] and (up[marks[-1]].tag == "article" or i <= marks[0])
+        spot = parent.children.index(below)
+        before, after = [[x for x in part if (kept_beside(x, threshold, landmark) if isinstance(x, Node) and not x.drop else landmark and isinstance(x, str) and x.strip())] for part in (parent.children[:spot], parent.children[spot + 1 :])]
+        for x in (*before, *after):
+            if isinstance(x, Node):
+                _tidy(x, landmark, threshold)
+        out = [*before, *out, *after]
+    return out
 
 
-def _inside(node: Node, top: Node) -> bool:
-    return any(n is top for n in _up(node.parent))
+def _tidy(top: Node, landmark: bool, threshold: float) -> None:
+    """Drop blocks below ``top`` that are lists of links, and a page's frame if ``top`` is the page."""
+    page = top.tag in ("body", "#root", "html") and not landmark
+    stack = top.kids()
+    while stack:
+        node = stack.pop()
+        if (node.link_tags >= 3 and node.tag in BLOCKS and node.tag not in HEADINGS | {"p"} and node.link_chars * 5 >= node.chars * 4) or (page and node.soft and not node.headed):
+            node.drop = True
+        else:
+            stack += [x for x in node.kids() if x.link_tags >= 3 or page]
 
 
-def blocks(tops: list[Node]) -> list[str]:
-    """Text blocks in page order: runs of text without a block boundary, references decoded, white space made one space."""
+def blocks(tops: list[Node | str]) -> list[str]:
+    """Text blocks in page order: runs of text without a block boundary, white space made one space."""
     out: list[str] = []
     run: list[str] = []
 
     def close() -> None:
         if run:
-            text = SPACE.sub(" ", html.unescape("".join(run))).strip()
+            text = SPACE.sub(" ", "".join(run)).strip()
             if text:
                 out.append(text)
             run.clear()
@@ -248,12 +353,13 @@ def blocks(tops: list[Node]) -> list[str]:
             elif not x.drop:
                 if x.tag == "br":
                     run.append(" ")
-                edge = x.tag in BLOCKS
-                if edge:
+                if x.tag in BLOCKS:
                     close()
                     stack.append(None)
                 stack += reversed(x.children)
-        close()
+        if not isinstance(top, str):
+            close()
+    close()
     return out
 
 
