@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,41 +50,98 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders of settled tables that are still there, by the JVM's object of their context.
+#: Folders of settled tables that are still there; what is left when the program ends is deleted then.
 _scratch: list[str] = []
+#: Lists that the folders of new settled tables are also entered in.
+_open: list[list[str]] = []
 
 
-def settled(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives the loss of executors.  ``keep``: ``sweep`` leaves it."""
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives the loss of executors."""
     spark = df.sparkSession
     df.write.parquet(path := fresh_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
-    if not keep:
-        _scratch.append(path)
+    for known in (_scratch, *_open):
+        known.append(path)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _scratch:
+@contextmanager
+def gathered() -> Iterator[list[str]]:
+    """The folders of the tables that are settled within, to be deleted when the result that reads them has been written."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open[:] = [x for x in _open if x is not paths]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of settled tables that nothing will read again."""
+    for path in [x for x in paths if x in _scratch]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         _scratch.remove(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing will read again, and let go of the shuffle files of finished plans."""
     for df in tables:
-        _delete(df.sparkSession, df.settled_at)
+        delete(df.sparkSession, [df.settled_at])
     if tables:
         release(tables[0].sparkSession)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all settled tables of results that have been written elsewhere."""
-    for path in list(_scratch):
-        _delete(spark, path)
-    release(spark)
+@atexit.register
+def _leave() -> None:
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context is not None else None
+    if spark is not None:
+        delete(spark, list(_scratch))
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in one struct ``_row``, so that no column of a user meets one of an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(F.struct(*rest).alias("_row") if rest else F.lit(None).cast("struct<none: int>").alias("_row"), *[F.col(f"`{c}`") for c in names if c in docs.columns])
+
+
+def unpacked(columns: list[str], *names: str) -> list[Column]:
+    """Of a table made by ``packed`` with the same names: the columns given, in their order."""
+    return [F.col(f"`{c}`" if c in names else f"_row.`{c}`").alias(c) for c in columns]
+
+
+def bounded(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of the keys.
+
+    A threshold on the hash, from the counted rows, leaves hardly more than that in all tasks together before any are gathered; it falls
+    short of ``most`` with a chance below 1e-9, and then the sample is that much smaller.
+    """
+    rows = df.count()
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    if rows > most:
+        hashed = hashed.where(F.pmod("_hash", F.lit(1 << 40)) < int((most + 7 * most**0.5 + 50) / rows * (1 << 40)))
+    return hashed.orderBy(F.pmod("_hash", F.lit(1 << 40)), *keys).limit(most).drop("_hash")
+
+
+#: Above this number of rows a key may be hot, unless all rows are so many that this is one in MOST_HOT of them.
+HOT = 128
+MOST_HOT = 50_000
+
+
+def spread_join(rows: DataFrame, n_rows: int, key: str, lookup: DataFrame) -> DataFrame:
+    """Left join of rows with the one row of ``lookup`` that has their key, hot keys dealt to several tasks.
+
+    Rows of a key are counted (before the shuffle first).  There are at most MOST_HOT keys above the limit, so these are broadcast; their rows
+    get a salt, and their lookup row is there once per salt.
+    """
+    most = max(HOT, n_rows // MOST_HOT)
+    hot = rows.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_hot", F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"), F.lit(0))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_salts")
+    right = lookup.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_hot", "_salts")
+    return left.join(right.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
 def small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
@@ -135,22 +195,29 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each halves the depth of the trees and keeps at most one row per edge, so no group is
-    gathered anywhere (minima are combined before the shuffle).  The table is settled in the shared folder each round; the rounds end when
-    every edge leads to a root.  Joins are by merge at every size.  Nulls and loops drop out.
+    gathered anywhere (minima are combined before the shuffle, and the centre of a star meets its minimum in several tasks).  The table is
+    settled in the shared folder each round; the rounds end when every edge leads to a root.  Nulls and loops drop out.
     """
-    def starred(rows: DataFrame, large: bool) -> DataFrame:
-        both = rows.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        joined = both.join(least.hint("merge"), "u")
-        kept = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return kept.where("a <> b").distinct()
-
-    every = now = settled(edges.select("a", "b").where("a <> b").distinct(), "links")
+    downward = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+    def large(now: DataFrame, n: int) -> DataFrame:
+        """Every node goes to the smallest neighbour of its smaller neighbour, or to that one."""
+        least = settled(now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")), "least")
+        return spread_join(now, n, "b", least).select("a", F.coalesce("m", "b").alias("b"))
+
+    def small_(now: DataFrame, n: int) -> DataFrame:
+        """The smaller neighbours of a node go to the smallest of them, and so does the node."""
+        least = settled(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        return spread_join(now, n, "a", least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+
+    every = now = settled(downward(edges.select("a", "b")), "links")
     for _ in range(most_rounds):
-        last, now = now, settled(starred(starred(now, True), False), "links")
+        with gathered() as used:
+            half = settled(downward(large(now, now.count())), "links")
+            last, now = now, settled(downward(small_(half, half.count())), "links")
+            delete(now.sparkSession, [x for x in used if x != now.settled_at])
         if last is not every:
-            discard(last)
+            delete(now.sparkSession, [last.settled_at])
         ends = now.select(F.col("b").alias("x"), F.lit(1).alias("as_root"), F.lit(0).alias("as_leaf")).unionByName(now.select("a", F.lit(0), F.lit(1)).toDF("x", "as_root", "as_leaf"))
         if ends.groupBy("x").agg(F.sum("as_root").alias("r"), F.sum("as_leaf").alias("l")).where("l > 1 OR (r > 0 AND l > 0)").isEmpty():
             break
@@ -194,7 +261,7 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(texts: list[bytes], endings: bool = False) -> tuple[np.ndarray, ...]:
+def hashed_words(texts: list[bytes], endings: bool = False, salt: int = 0) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words of the texts, and the number of words of each text; with ``endings`` also each word's last two bytes.
 
     A word's hash is a polynomial of its bytes, taken from prefix sums over the joined texts; segments cut at white space bound the tables.
@@ -211,7 +278,7 @@ def hashed_words(texts: list[bytes], endings: bool = False) -> tuple[np.ndarray,
     while at < len(starts):
         base = starts[at]
         to = max(int(np.searchsorted(ends, base + SEGMENT, side="right")), at + 1)
-        up, down = powers(int(ends[to - 1] - base))
+        up, down = powers(int(ends[to - 1] - base), _ODD + 0x5851F42D4C957F2C * salt & (1 << 64) - 1)
         piece = b[base : ends[to - 1]].astype(np.uint64)
         piece += np.uint64(1)
         piece *= up[: len(piece)]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import settled, small
+from quillgraph.llm.common import packed, settled, small, unpacked
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -122,5 +122,5 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, step: int, shingles:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that no item contaminates."""
-    found = settled(matches(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    found = settled(matches(docs, benchmark, **options).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
+    return packed(docs, "doc_id").join(found, F.col("doc_id").cast("long") == F.col("leaked"), "left_anti").select(*unpacked(docs.columns, "doc_id"))

@@ -3,9 +3,10 @@
 Words have counts from all training texts.  The model's symbols are the most frequent words, the end, and classes of the other words (by
 their last two bytes); a state emits a symbol, and a class emits its words by their add-one shares, one of them for words never seen.
 
-Training.  Word counts are added up on the executors.  Baum-Welch starts on the driver from ``warm_docs`` texts (clusters of texts, then
-``warm_rounds`` rounds), and goes on with ``rounds`` rounds over all training texts: each task adds up expected counts in runs of ``RUN``
-tokens, they are summed per symbol across tasks, and the driver gets one row per symbol.
+Training.  Word counts are added up on the executors.  One task makes a first guess for Baum-Welch out of a sample: ``warm_docs`` texts of at
+most ``WARM_LENGTH`` tokens, ``WARM_TOKENS`` together (clusters of texts, then ``warm_rounds`` rounds).  What is learned then comes from all
+training texts: in each of ``rounds`` rounds every task adds up expected counts in runs of ``RUN`` tokens, they are summed per symbol across
+tasks, and the driver gets one row per symbol.
 
 Scoring.  The scaled forward recursion runs over the whole text, however long, so the likelihood is exact.  The counts of frequent words
 (at most ``HEAD``, a bound that a count threshold guarantees) go to every task; all other words meet their counts in a join.
@@ -16,6 +17,7 @@ training row all counts are 0 and the base score is 0; other columns are ignored
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import HashIndex, hashed_words, longest_first, release, settled, text_chunks
+from quillgraph.llm.common import HashIndex, bounded, hashed_words, longest_first, release, settled, text_chunks
 
 HEAD = 1 << 17
 SYMBOLS = 1 << 13
@@ -32,6 +34,8 @@ CLASSES = 1 << 10
 STATES = 12
 RUN = 512
 WARM_DOCS = 2_000
+WARM_LENGTH = 8_192
+WARM_TOKENS = 1 << 20
 WARM_ROUNDS = 12
 ROUNDS = 2
 END = SYMBOLS + CLASSES
@@ -250,6 +254,23 @@ def warm_start(sequences: list[np.ndarray], share: np.ndarray, states: int = STA
     return model
 
 
+def first_guess(learn: DataFrame, share: np.ndarray, warm_docs: int = WARM_DOCS) -> Hmm:
+    """``learn``: doc_id, symbols, n_tokens.  The driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, left = [], WARM_TOKENS
+        for batch in batches:
+            for x in batch.column("symbols").to_pylist():
+                if len(x) // 2 <= left:
+                    chosen.append(np.frombuffer(x, np.uint16))
+                    left -= len(x) // 2
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(warm_start(chosen, share))], pa.binary())], ["model"])
+
+    short = learn.where(F.col("n_tokens") <= WARM_LENGTH).select("doc_id", "symbols")
+    found = bounded(short, warm_docs, "doc_id", "symbols").select("symbols").coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else warm_start([], share)
+
+
 def _summed(model: Hmm):
     """Expected counts of a task: a row per symbol; the moves and starts as rows of negative numbers."""
     k = len(model.start)
@@ -304,8 +325,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, warm_docs: int = WARM_DOCS) ->
     )
     encoded = settled(encoded.withColumn("uid", F.monotonically_increasing_id()), "encoded")
     learn = encoded.where("NOT held_out")
-    warm = learn.select("doc_id", "uid", "symbols").orderBy(F.xxhash64("doc_id"), "uid").limit(warm_docs).collect()
-    model = warm_start([np.frombuffer(r.symbols, np.uint16) for r in sorted(warm, key=lambda r: (r.doc_id or 0, r.uid))], counts.symbol_share)
+    model = first_guess(learn, counts.symbol_share, warm_docs)
     for _ in range(rounds):
         model = baum_welch(learn, model, counts.symbol_share)
     # Rare words meet their counts; words never seen in training add nothing (log10 of 0 + 1).

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Interned, longest_first, text_chunks
+from quillgraph.llm.common import Interned, bounded, longest_first, text_chunks
 
 BITS = 16
 MAX_TRAIN_ROWS = 20_000
@@ -128,7 +128,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def train(docs: DataFrame, may_train: Column, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Learn from documents that pass ``may_train`` (a condition on doc_id)."""
     able = docs.select("doc_id", F.col("lang").alias("_lang"), "text").where(F.col("_lang").isNotNull() & F.col("doc_id").isNotNull() & may_train)
-    chosen = able.select("doc_id", "_lang").withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id", "_lang").limit(max_train_rows).select("doc_id").distinct()
+    chosen = bounded(able.select("doc_id", "_lang"), max_train_rows, "doc_id", "_lang").select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, scripts = Interned(), {}, {}

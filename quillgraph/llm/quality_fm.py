@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import text_chunks
+from quillgraph.llm.common import bounded, packed, text_chunks, unpacked
 
 BITS = 15
 RANK = 8
@@ -150,7 +150,7 @@ def fit(stats: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], labels: n
 def train(docs: DataFrame, labels: DataFrame, may_train: Column, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on the documents whose label row passes ``may_train`` (a condition on doc_id)."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & may_train).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
-    chosen = chosen.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(max_train_rows).select("doc_id", "_label")
+    chosen = bounded(chosen, max_train_rows, "doc_id")
     rows = docs.select(*[c for c in ("doc_id", "text", "n_chars") if c in docs.columns]).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +173,22 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column, max_train_rows:
     return pickle.loads(found[0].model) if found else fit(np.zeros((0, STATS)), [], np.zeros(0))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with the column ``score``: 0 to 1, higher if label 1 is likelier."""
-    keep = [c for c in docs.columns if c != "score"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep] + ["score double"])
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs``: text, and n_chars if known; any other columns are carried on.  Adds ``score``."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, stats, counts, ids in featured(batches):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.scores(stats, counts, ids), pa.float64())], [*rows.schema.names, "score"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents with the column ``score``: 0 to 1, higher if label 1 is likelier.  It replaces a column of that name."""
+    return _scored(docs.drop("score"), model)
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold, with their own columns."""
+    return _scored(packed(docs, "text", "n_chars"), model).where(F.col("score") >= threshold).select(*unpacked(docs.columns, "text", "n_chars"))

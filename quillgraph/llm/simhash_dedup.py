@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import connected_components, discard, settled, small, text_chunks
+from quillgraph.llm.common import connected_components, discard, packed, settled, small, spread_join, text_chunks, unpacked
 
 SHINGLE = 4
 RADIUS = 4
 CROWD = 64
 SEED = 42
+#: Fingerprints that one task spreads out on halves.
+SPREAD_ROWS = 8_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -55,14 +57,15 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+    """doc_id, the fingerprint as a signed long, and ``row`` if the documents have it."""
+    own = [c for c in ("doc_id", "row") if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_chunks(batches):
             found = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in own), pa.array(found)], [*own, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*[F.col(c).cast("long").alias(c) for c in own], "text").mapInArrow(run, ", ".join(f"{c} long" for c in own) + ", fp long")
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -105,8 +108,10 @@ def _forest(radius: int):
 def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(a, b): links that join all of ``nodes`` (distinct fp, id) whose fingerprints are within ``radius`` bits, as ids."""
     half = radius // 2
+    # Few small rows come from few files, and each is spread out 66-fold: deal them first, to so many tasks that none makes more than some rows.
+    dealt = nodes.repartition(max(1, -(-nodes.count() // SPREAD_ROWS)), "fp")
     parts = F.array(F.expr("fp & 4294967295L"), F.expr("shiftrightunsigned(fp, 32)"))
-    keyed = nodes.select("fp", "id", F.posexplode(parts).alias("side", "part"))
+    keyed = dealt.select("fp", "id", F.posexplode(parts).alias("side", "part"))
     keyed = keyed.select("fp", "id", "side", "part", F.explode(_masks(ball(32, half // 2 if half > 1 else half))).alias("mask")).select(F.expr("shiftleft(cast(side as long), 32) | (part ^ mask)").alias("key"), "fp", "id")
     # Of two rows, the smallest and the largest are both.  Most keys are met once, so a hash table of them would only fill memory before the
     # shuffle; minima of structs are aggregated by sorting, which spills.
@@ -118,31 +123,37 @@ def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFra
     crowded = settled(keyed.join(small(many, many.count()), "key"), "crowded")
     lists = crowded.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fp", "id")).alias("x")).select(F.col("x.fp").alias("fps"), F.col("x.id").alias("ids"))
     listed = lists.mapInArrow(_forest(radius), "a long, b long")
-    # Deal before the ball is spread out, so that the work of a crowd is shared by all tasks.
-    hot = crowded.where(F.col("n") > crowd).select("fp", "id").distinct()
-    spread = hot.select("fp", "id", F.explode(_masks(ball(64, half))).alias("mask")).select(F.expr("fp ^ mask").alias("variant"), "fp", "id")
+    # Deal again before the ball is spread out, so that the work of a crowd is shared by many tasks.
+    hot = settled(crowded.where(F.col("n") > crowd).select("fp", "id").distinct(), "hot")
+    spread = hot.repartition(max(1, -(-hot.count() * 32 // SPREAD_ROWS)), "fp").select("fp", "id", F.explode(_masks(ball(64, half))).alias("mask")).select(F.expr("fp ^ mask").alias("variant"), "fp", "id")
     least = spread.groupBy("variant").agg(F.min(F.struct("id", "fp")).alias("least"), F.count("*").alias("n")).where("n > 1")
     starred = spread.join(least.hint("merge"), "variant").where((F.col("id") != F.col("least.id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= radius))
     out = settled(pairs.unionByName(listed).unionByName(starred.select(F.col("id").alias("a"), F.col("least.id").alias("b"))).distinct(), "near")
-    discard(met, crowded)
+    discard(met, crowded, hot)
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable) of every document."""
+def _grouped(docs: DataFrame, shingle: int, radius: int, crowd: int) -> DataFrame:
+    """The columns of ``fingerprints`` and component_id."""
     light = settled(fingerprints(docs, shingle), "fingerprints")
     nodes = settled(light.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
     near = links(nodes.where("id IS NOT NULL"), radius, crowd)
     found = connected_components(near)
-    named = settled(nodes.join(found.hint("merge"), nodes["id"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id")), "named")
+    named = settled(nodes.join(found.hint("merge"), nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")), "named")
     discard(near, found, nodes)
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return light.join(named.hint("merge"), F.col("fp") == F.col("_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return spread_join(light, light.count(), "fp", named)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable) of every document."""
+    return _grouped(docs.select("doc_id", "text"), shingle, radius, crowd).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each group: the row whose doc_id names the group, once.  Rows without doc_id all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    kept = settled(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    rows = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """The documents with one of each group: the row with the smallest doc_id, and of several with that one the smallest hash.  Rows without doc_id all stay."""
+    rows = packed(docs, "doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text", F.to_json("_row")))
+    found = _grouped(rows.where("doc_id IS NOT NULL").select("doc_id", "row", "text"), shingle, radius, crowd)
+    kept = settled(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.row").alias("kept_row")), "kept")
+    met = rows.join(kept.hint("merge"), (F.col("doc_id").cast("long") == F.col("kept_id")) & (F.col("row") == F.col("kept_row"))).dropDuplicates(["kept_id", "kept_row"])
+    own = unpacked(docs.columns, "doc_id", "text")
+    return met.select(*own).unionByName(rows.where("doc_id IS NULL").select(*own))

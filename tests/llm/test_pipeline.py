@@ -14,7 +14,7 @@ def test_stages(spark):
     docs = table(spark, FOLDER, "documents")
     outputs = []
     for name, stage in pipe.STAGES:
-        docs = settled(stage(spark, docs, FOLDER), f"test-{name}", keep=True)
+        docs = settled(stage(spark, docs, FOLDER), f"test-{name}")
         outputs.append({r.doc_id: r for r in docs.collect()})
         if name != "mix":
             assert docs.columns == COLUMNS

@@ -299,7 +299,7 @@ def test_sainte_lague(spark):
     for _ in range(4):
         votes, seats = [rng.randrange(1, 3000) for _ in range(rng.randrange(1, 40))], rng.randrange(1, 300)
         df = spark.createDataFrame([(i, float(v), seats) for i, v in enumerate(votes)], "k long, votes double, total long")
-        got = {r.k: r.seats for r in mixing.sainte_lague(df, [], "k").collect()}
+        got = {r.k: r.seats for r in mixing.sainte_lague(df.withColumn("g", F.lit(0)), "g", "k", buckets=7).collect()}
         assert [got.get(i, 0) for i in range(len(votes))] == lague(votes, seats)
 
 
