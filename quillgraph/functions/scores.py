@@ -76,8 +76,24 @@ def family_score(family: Column, allowed: Column) -> Column:
     return F.when(F.size(allowed) == 0, 0.0).when(F.array_contains(allowed, family), 0.45).otherwise(-0.75)
 
 
+# Names under which a family of artifacts also comes.
+FAMILY_ALIASES = {
+    "DOC": "DOCUMENT", "DOCS": "DOCUMENT", "DOCUMENTS": "DOCUMENT", "PPT": "PRESENTATION", "PPTX": "PRESENTATION", "SLIDES": "PRESENTATION", "EMAILS": "EMAIL", "MAIL": "EMAIL",
+    "PDF": "DOCUMENT", "PDFS": "DOCUMENT", "THREAD": "EMAIL", "THREADS": "EMAIL", "ATTACHMENT": "DOCUMENT", "ATTACHMENTS": "DOCUMENT",
+}
+
+
 def canonical_family(col: Column) -> Column:
-    return F.regexp_replace(F.translate(F.upper(F.trim(F.coalesce(col, F.lit("")))), "- ", "__"), "^ARTIFACT_", "")
+    """Upper-case family name without prefix, by its usual name; DOCUMENT if there is none."""
+    raw = F.regexp_replace(F.translate(F.upper(F.trim(F.coalesce(col, F.lit("")))), "- ", "__"), "^ARTIFACT_", "")
+    known = F.create_map(*[F.lit(x) for pair in FAMILY_ALIASES.items() for x in pair])
+    return F.coalesce(F.element_at(known, raw), F.when(raw != "", raw), F.lit("DOCUMENT"))
+
+
+def family_name(family: str | None) -> str:
+    """The same for a plain value."""
+    raw = (family or "").strip().upper().translate(str.maketrans("- ", "__")).removeprefix("ARTIFACT_")
+    return FAMILY_ALIASES.get(raw, raw or "DOCUMENT")
 
 
 def path_confidence(a: Column, b: Column, hops: Column, a_selected: Column, b_selected: Column, candidate_only: Column) -> Column:
@@ -89,12 +105,12 @@ def path_confidence(a: Column, b: Column, hops: Column, a_selected: Column, b_se
 
 def shared_anchor_confidence(a: Column, b: Column, shared: Column) -> Column:
     score = 0.52 + F.least(F.lit(0.14), 0.06 * shared) + F.least(F.lit(0.10), 0.10 * a) + F.least(F.lit(0.10), 0.10 * b)
-    return F.round(F.least(F.lit(0.86), score), 4)
+    return F.round(F.least(F.lit(0.86), score).cast("decimal(18,9)"), 4).cast("double")
 
 
 def shared_artifact_confidence(a: Column, b: Column, shared: Column, lexical: Column) -> Column:
     score = 0.48 + F.least(F.lit(0.16), 0.16 * lexical) + F.least(F.lit(0.08), 0.05 * shared) + F.least(F.lit(0.10), 0.10 * a) + F.least(F.lit(0.10), 0.10 * b)
-    return F.round(F.least(F.lit(0.84), score), 4)
+    return F.round(F.least(F.lit(0.84), score).cast("decimal(18,9)"), 4).cast("double")
 
 
 def default_reliability(kind: Column, category: Column, method: Column) -> Column:

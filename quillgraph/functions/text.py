@@ -352,9 +352,21 @@ def document_ids(col: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(blank(col), F.lit(r"\b([a-z]{2,4}\d{3,6})\b"), 1))
 
 
+# Names of slots that a statement may start with, and openings that say nothing.
+SLOT_PREFIXES = ["WHAT:", "WHO:", "WHY:", "HOW:", "WHEN:", "EVIDENCE:", "OUTCOME:"]
+OPENINGS = ["The focal document was ", "The retrieved evidence was authored by ", "Responsibility chain: ", "The relevant date or period is ", "Supporting evidence comes from "]
+
+
 def clean_statement(col: Column) -> Column:
-    """Without bracketed remarks and doubled spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(blank(col), r"\[[^\]]*\]", " "), r"\s+", " "))
+    """Without the slots it starts with (three passes over their list, in its order) and without an opening; each pass and the end trim."""
+    out = blank(col)
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    for _ in range(3):
+        for slot in SLOT_PREFIXES:
+            out = F.regexp_replace(out, rf"^\s*{slot}\s*([\s\S]*?)\s*$", "$1")
+    for opening in OPENINGS:
+        out = F.regexp_replace(out, f"^{opening}", "")
+    return trimmed(out)
 
 
 def looks_like_id(col: Column, most: int = 12) -> Column:

@@ -95,7 +95,8 @@ def resolve_endpoints(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """query, kg_id, tier: five ways in falling precision, each tried for what the ones before have left.
 
     exact, abbrev_alias: by lower-case name or abbreviation; normalized, token_set: by key, if one entity has it; token_sub: if the tokens of one
-    entity only contain, or are contained in, the query's, the smaller set being substantive.  Entities meet queries on shared tokens.
+    entity only contain, or are contained in, the query's, the smaller set being substantive.  The smaller set is wholly in the larger, so either meets the
+    other on its own rarest token (fewest entities have it), never on a common one only.
     """
     entities = rows.select("kg_id", "name", "ingest_seq", "abbreviation")
     asked = queries.select("query").where("query IS NOT NULL").distinct().withColumn("q", t.canonical_term(F.col("query")))
@@ -112,8 +113,14 @@ def resolve_endpoints(queries: DataFrame, rows: DataFrame) -> DataFrame:
     # Subset tier: number of shared distinct tokens equals the smaller set's size.
     sets = entities.select("kg_id", F.array_distinct(t.token_key(F.col("name"))).alias("etoks")).distinct().where(F.size("etoks") > 0)
     open_ = found.where("tier IS NULL").where(F.size("toks") >= 2).select("query", F.array_distinct("toks").alias("qtoks"))
-    shared = open_.select("query", F.size("qtoks").alias("nq"), F.explode("qtoks").alias("tok")).join(sets.select("kg_id", "etoks", F.size("etoks").alias("ne"), F.explode("etoks").alias("tok")), "tok")
-    hits = shared.groupBy("query", "nq", "kg_id", "ne", "etoks").agg(F.collect_set("tok").alias("both")).where(F.size("both") == F.least("nq", "ne")).where(t.substantive(F.col("both")))
+    held = sets.select("kg_id", "etoks", F.explode("etoks").alias("tok"))
+    wanted = open_.select("query", "qtoks", F.explode("qtoks").alias("tok"))
+    common = held.groupBy("tok").agg(F.count("*").alias("n"))
+    # A token that no entity has is the rarest of all: what holds it is contained in nothing.
+    rarest = lambda df, *keys: df.join(common, "tok", "left").groupBy(*keys).agg(F.min_by("tok", F.struct(F.coalesce("n", F.lit(0)), "tok")).alias("tok"))
+    inside = rarest(wanted, "query", "qtoks").join(held, "tok").where(F.size(F.array_except("qtoks", "etoks")) == 0).select("query", "kg_id", F.col("qtoks").alias("both"))
+    around = rarest(held, "kg_id", "etoks").join(wanted, "tok").where(F.size(F.array_except("etoks", "qtoks")) == 0).select("query", "kg_id", F.col("etoks").alias("both"))
+    hits = inside.unionByName(around).where(t.substantive(F.col("both")))
     sub = hits.groupBy("query").agg(F.min("kg_id").alias("sub_id"), F.countDistinct("kg_id").alias("n")).where("n = 1").drop("n")
     out = found.join(sub, "query", "left")
     return out.select("query", F.coalesce("kg_id", "sub_id").alias("kg_id"), F.coalesce("tier", F.when(F.col("sub_id").isNotNull(), "token_sub"), F.lit("miss")).alias("tier"))

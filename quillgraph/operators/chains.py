@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import scores
 from quillgraph.operators.build import keep_first
+from quillgraph.operators.graph import numbered
 
 # Weights of a chain's parts, and the cap of chains that leave required slots open.
 WEIGHTS = {"slot_coverage": 0.2, "witness_complete": 0.15, "source_diversity": 0.05, "temporal_consistency": 0.1, "mapping_support": 0.05, "evidence_confidence": 0.2, "source_score": 0.05, "question_relevance": 0.2}
@@ -50,7 +51,7 @@ def chains(members: DataFrame, mappings: DataFrame, slot_types: int, artifacts:
     score = F.when(~F.col("answerable"), F.least(score, F.lit(OPEN_CAP))).otherwise(score) if required else score
     # One chain per set of candidates, the best; then all in order.
     best = keep_first(g.withColumn("score", score), ["candidates"], F.desc("score"), F.desc("chain_id"))
-    return best.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "chain_id"))).select("chain_id", *WEIGHTS, "score", "answerable", "missing", "rank")
+    return numbered(best, "rank", F.desc("score"), "chain_id").select("chain_id", *WEIGHTS, "score", "answerable", "missing", "rank")
 
 
 def repair(candidates: DataFrame, required: list[str]) -> DataFrame:

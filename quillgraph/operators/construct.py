@@ -11,6 +11,8 @@ from quillgraph.operators.build import keep_first
 UNDERCUTTING, CLUSTER_BASE, CLUSTER_STEP, CLUSTER_FLOOR, LEAST = 0.80, 0.60, 0.05, 0.40, 0.01
 CONTESTED_ONE, CONTESTED_MORE, TWO_DOCUMENTS, THREE_DOCUMENTS = 0.70, 0.50, 0.05, 0.10
 SLOT_WEIGHTS = {"WHAT": 2.0, "EVIDENCE": 1.5, "WHO": 1.0, "HOW": 1.0, "WHEN": 0.8}
+ACCEPTANCE_FLOOR, TOP_CHAIN_WEIGHT = 0.50, 1.0
+SENSITIVITY = {"STABLE": 0.20, "MARGINAL": 0.10, "SENSITIVE": 0.0}
 SLOT_PAIRS = [("WHO", "WHAT"), ("WHO", "HOW"), ("WHAT", "EVIDENCE"), ("WHEN", "WHAT"), ("HOW", "EVIDENCE")]
 
 
@@ -19,7 +21,7 @@ def weakened(inferences: DataFrame, defeaters: DataFrame) -> DataFrame:
     penalty = F.when(F.col("type") == "rebutting", F.greatest(F.lit(CLUSTER_FLOOR), CLUSTER_BASE - (F.col("cluster_size") - 1) * CLUSTER_STEP)).otherwise(UNDERCUTTING)
     d = defeaters.groupBy("uid").agg(F.product(penalty).alias("factor"), F.count("*").alias("defeaters"))
     out = inferences.join(d, "uid", "left")
-    return out.select("uid", "confidence", F.when(F.col("factor").isNull(), F.col("confidence")).otherwise(F.round(F.greatest(F.col("confidence") * F.col("factor"), F.lit(LEAST)), 4)).alias("updated"), F.coalesce("defeaters", F.lit(0)).alias("defeaters"))
+    return out.select("uid", "confidence", F.when(F.col("factor").isNull(), F.col("confidence")).otherwise(F.round(F.greatest(F.col("confidence") * F.col("factor"), F.lit(LEAST)).cast("decimal(18,12)"), 4).cast("double")).alias("updated"), F.coalesce("defeaters", F.lit(0)).alias("defeaters"))
 
 
 def discounted(inferences: DataFrame, premises: DataFrame, contested: DataFrame) -> DataFrame:
@@ -55,21 +57,34 @@ def cross_slot(claims: DataFrame, group: str) -> DataFrame:
     return a.join(b, [group, "to_slot"]).select(group, "from_slot", "to_slot", ((F.col("c1") + F.col("c2")) / 2).alias("confidence"))
 
 
-def claim_reliability(grounds: DataFrame) -> DataFrame:
-    """claim_uid, reliability: mean over its witnesses."""
-    return grounds.groupBy("claim_uid").agg(F.avg("reliability").alias("reliability"))
+def claim_reliability(grounds: DataFrame, default: float = 0.5) -> DataFrame:
+    """claim_uid, reliability: mean over its witnesses, of which one without a value counts as the default.
+
+    Values are added up as decimals of nine digits, so that the mean does not depend on the order of rows.
+    """
+    value = F.coalesce(F.col("reliability").cast("double"), F.lit(default)).cast("decimal(18,9)")
+    return grounds.groupBy("claim_uid").agg((F.sum(value).cast("double") / F.count("*")).alias("reliability"))
+
+
+def trusted(claims: DataFrame, grounds: DataFrame, weight: float = TOP_CHAIN_WEIGHT, least: float = 0.80) -> DataFrame:
+    """claim_uid, reliability, confidence: claims whose witnesses are reliable on average have their confidence times the weight, 1 at most."""
+    out = claims.join(claim_reliability(grounds), "claim_uid", "left")
+    raised = F.round(F.least(F.col("confidence") * weight, F.lit(1.0)), 4)
+    return out.select("claim_uid", "reliability", F.when(F.col("reliability") >= least, raised).otherwise(F.col("confidence")).alias("confidence"))
 
 
 def uncertainty(claims: DataFrame) -> DataFrame:
-    """claim_uid, level: how uncertain a claim is by confidence, contest and number of witnesses."""
-    level = F.when((F.col("status") == "contested") | (F.col("confidence") < 0.35), "HIGH").when((F.col("confidence") < 0.60) | (F.col("n_witnesses") < 2), "MEDIUM").otherwise("LOW")
-    return claims.select("claim_uid", level.alias("level"))
+    """claim_uid, level: how uncertain a claim (status, n_witnesses, sensitivity of its first decision, null if none) is."""
+    high = (F.col("status") == "contested") | F.coalesce(F.col("sensitivity") == "SENSITIVE", F.lit(False))
+    medium = F.coalesce(F.col("sensitivity") == "MARGINAL", F.lit(False)) | (F.col("n_witnesses") == 1)
+    return claims.select("claim_uid", F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW").alias("level"))
 
 
-def sensitivity(inferences: DataFrame, threshold: float = 0.50) -> DataFrame:
-    """uid, margin, band: how far a confidence is from the threshold at which an answer would change."""
-    margin = F.round(F.col("confidence") - threshold, 6)
-    return inferences.select("uid", margin.alias("margin"), F.when(margin >= 0.25, "robust").when(margin >= 0.10, "stable").when(margin >= 0, "fragile").otherwise("below").alias("band"))
+def sensitivity(inferences: DataFrame, floor: float = ACCEPTANCE_FLOOR) -> DataFrame:
+    """uid, margin, band: how far a confidence is above the floor at which an answer is accepted."""
+    margin = F.col("confidence") - floor
+    band = F.coalesce(*[F.when(margin > least, F.lit(name)) for name, least in SENSITIVITY.items()], F.lit("BELOW_FLOOR"))
+    return inferences.select("uid", F.round(margin, 4).alias("margin"), band.alias("band"))
 
 
 def tethered(statements: DataFrame, grounds: DataFrame, least: int = 1) -> DataFrame:

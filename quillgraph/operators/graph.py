@@ -23,6 +23,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """Rows numbered from 1 in an order: ranges of it are numbered each by itself and moved on by the size of the ranges before."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = checkpointed(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))  # one row per range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
+    out = ranged.withColumn(name, F.row_number().over(W.partitionBy("_range").orderBy(*keys))).join(F.broadcast(before), "_range")
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     rows = edges.select("src", "dst", "rel_type", "uid")
     return rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type", "uid"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import scores
 from quillgraph.functions import text as t
 from quillgraph.operators.build import keep_first
+from quillgraph.operators.graph import numbered
 
 #: Category, priority, pattern.  A table, so that a corpus brings its own.
 PATTERNS = [
@@ -119,7 +120,7 @@ def distinct_subgraphs(subgraphs: DataFrame) -> DataFrame:
     """The best subgraph of each set of bindings, in the order of their score."""
     signature = F.array_join(F.array_sort(F.transform("bindings", lambda b: F.concat_ws("=", b["var"], b["artifact"]))), ";")
     best = keep_first(subgraphs.withColumn("signature", signature), ["signature"], F.desc("score"), "subgraph_id")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "subgraph_id")))
+    return numbered(best, "rank", F.desc("score"), "subgraph_id")
 
 
 def seeds(hints: DataFrame) -> DataFrame:

@@ -75,18 +75,27 @@ def edge_category(edges: DataFrame, known: DataFrame) -> DataFrame:
     folded = known.groupBy(F.lower("term").alias("_f")).agg(F.min_by("category", "seq").alias("c2"))
     out = edges.join(exact, F.col("term_1") == F.col("_e"), "left").join(folded, F.lower("term_1") == F.col("_f"), "left").drop("_e", "_f")
     open_ = out.where("c1 IS NULL AND c2 IS NULL").select("term_1").distinct()
-    # Containment has no key; names meet on their first token, which a containing term holds as a token.
-    asked = open_.withColumn("tok", F.get(t.tokens(F.col("term_1")), F.lit(0)))
-    holds = known.select(F.lower("term").alias("term"), "category", "seq", F.explode(t.tokens(F.col("term"))).alias("tok"))
-    third = asked.join(holds, "tok").where(F.contains(F.col("term"), F.lower("term_1"))).groupBy("term_1").agg(F.min_by("category", "seq").alias("c3"))
+    # Containment has no key, but a term that contains a name holds all its runs of three characters; they meet on the name's rarest one.
+    grams = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - size + 1)), lambda i: F.substr(c, i, F.lit(size))))
+    terms = known.select(F.lower("term").alias("term"), "category", "seq").where("term <> ''")
+    low = F.lower("term_1")
+    asked = open_.where(F.length("term_1") > 0).select("term_1", F.explode(F.when(F.length(low) >= 3, grams(low, 3)).when(F.length(low) == 2, F.array(low)).otherwise(F.array(low))).alias("gram"))
+    holds = terms.withColumn("gram", F.explode(F.concat(grams(F.col("term"), 1), grams(F.col("term"), 2), grams(F.col("term"), 3))))
+    counts = holds.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("term_1").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    third = rarest.join(holds, "gram").where(F.contains(F.col("term"), F.lower("term_1"))).groupBy("term_1").agg(F.min_by("category", "seq").alias("c3"))
     return out.join(third, "term_1", "left").withColumn("category", F.coalesce("c1", "c2", "c3")).drop("c1", "c2", "c3")
 
 
-def progress(docs: DataFrame, stages: list[str]) -> DataFrame:
-    """Documents with status: done, the first stage that is open, or new."""
-    open_ = F.coalesce(*[F.when(~F.coalesce(F.col(s), F.lit(False)), F.lit(f"open:{s}")) for s in stages], F.lit("done"))
-    none = ~F.greatest(*[F.coalesce(F.col(s), F.lit(False)) for s in stages])
-    return docs.withColumn("status", F.when(none, "new").otherwise(open_))
+#: Steps of a document and the output whose presence, with any content, shows that one is done.
+STEPS = {"is_segmented": "labels", "is_ocred": "text", "is_entity_extracted": "entities", "is_relationship_extracted": "relationships"}
+
+
+def progress(docs: DataFrame, outputs: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """One row per document with a flag (0 or 1) per step; ``outputs``: key, kind, size.  Rows of ``known`` for other documents stay."""
+    done = outputs.where("size > 0").groupBy(key).agg(*[F.max((F.col("kind") == kind).cast("int")).alias(step) for step, kind in STEPS.items()])
+    now = docs.select(key).distinct().join(done, key, "left").select(key, *[F.coalesce(F.col(step), F.lit(0)).alias(step) for step in STEPS])
+    return now if known is None else now.unionByName(known.select(key, *STEPS).join(now.select(key), key, "left_anti"))
 
 
 def decoded(content: Column) -> Column:

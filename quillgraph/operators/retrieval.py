@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import dates, scores
 from quillgraph.functions import text as t
+from quillgraph.operators.graph import checkpointed, numbered
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 3.0
 
@@ -28,7 +29,7 @@ def scope(
     if exclude:
         conditions.append(missing(collection) | ~collection.isin(exclude))
     if families:
-        conditions.append(missing(family) | scores.canonical_family(family).isin([f.upper().removeprefix("ARTIFACT_") for f in families]))
+        conditions.append(missing(family) | scores.canonical_family(family).isin([scores.family_name(f) for f in families]))
     when = dates.normal(date)
     if op == "between" and start and end:
         conditions.append(missing(when) | when.between(start, end))
@@ -60,6 +61,8 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str])
     rows = docs.select(key, *[F.regexp_extract_all(F.lower(t.blank(F.col(f))), F.lit("[a-z0-9]+"), 0).alias(f) for f in fields])
     times = lambda f, w: F.size(F.filter(f, lambda x: x == F.lit(w)))
     counted = rows.select(key, *[F.size(f).alias(f"{f}_n") for f in fields], *[times(f, w).alias(f"{f}_{i}") for f in fields for i, w in enumerate(q)])
+    # Texts are tokenised once: statistics and scores both read the counts.
+    counted = checkpointed(counted)
     stats = counted.agg(F.count("*").alias("docs"), *[F.avg(f"{f}_n").alias(f"{f}_avg") for f in fields], *[F.sum((F.col(f"{f}_{i}") > 0).cast("int")).alias(f"{f}_df{i}") for f in fields for i in range(len(q))])
     joined = counted.join(F.broadcast(stats))  # one row
 
@@ -101,7 +104,7 @@ def more_like(vectors: DataFrame, key: str, vector: str, positive: int, top: int
 def first_hits(pages: DataFrame, artifact: str) -> DataFrame:
     """Ranked page hits as ranked artifacts: each at its first page, ranks closed up."""
     best = pages.groupBy(artifact).agg(F.min("rank").alias("first"))
-    return best.withColumn("rank", F.row_number().over(W.orderBy("first", artifact))).select(artifact, "rank")
+    return numbered(best, "rank", "first", artifact).select(artifact, "rank")
 
 
 def reciprocal_fusion(lexical: DataFrame, semantic: DataFrame, key: str, k: int = 60) -> DataFrame:

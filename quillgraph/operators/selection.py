@@ -1,18 +1,26 @@
-"""Greedy choices over a short list.  Each step depends on the ones before, so they run on one group; Spark cuts the list to ``prefilter`` rows first."""
+"""Greedy choices.  Each step depends on the ones before, so they run on one group; Spark first takes out the rows that can be chosen at all."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cover(candidates: DataFrame, k: int, required: list[str], family_weight: float = 2.0, diversity: float = 0.5, relevance_weight: float = 0.35, group_boost: float = 2.0, prefilter: int = 250) -> DataFrame:
+def cover(candidates: DataFrame, k: int, required: list[str], family_weight: float = 2.0, diversity: float = 0.5, relevance_weight: float = 0.35, group_boost: float = 2.0) -> DataFrame:
     """artifact_id, step, gain: the k artifacts (artifact_id, fused, family, collection, relevance, doc_group) taken one after the other.
 
     A family that is required and not yet covered gains, one that is there loses, so does a collection at half the weight; a group that is there gains.
+    What a step adds or takes off is the same for all artifacts of one family, collection and group, so of each only the k best can be chosen;
+    and of groups, only those that hold one of the k best of a family and collection.
     """
-    short = candidates.orderBy(F.desc("fused"), "artifact_id").limit(prefilter)
+    base = candidates.withColumn("_base", F.col("fused") + relevance_weight * F.col("relevance"))
+    best = lambda df, *by: df.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_base"), F.desc("fused"), "artifact_id"))).where(F.col("_i") <= k).drop("_i", "_base")
+    leaders = best(base, "family", "collection")
+    groups = leaders.where("doc_group <> ''").select("doc_group").distinct()
+    members = best(base.join(groups, "doc_group", "left_semi"), "family", "collection", "doc_group")
+    short = leaders.unionByName(members).dropDuplicates(["artifact_id"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, out = rows.sort_values(["fused", "artifact_id"], ascending=[False, True]).to_dict("records"), []
@@ -34,8 +42,13 @@ def cover(candidates: DataFrame, k: int, required: list[str], family_weight: flo
     return short.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"artifact_id {kind}, step int, gain double")
 
 
-def diverse(subgraphs: DataFrame, bonus: float = 0.3, prefilter: int = 50) -> DataFrame:
-    """subgraph_id, step, novelty: (subgraph_id, score, nodes array) by score and share of nodes not yet seen."""
+def diverse(subgraphs: DataFrame, bonus: float = 0.3, most: int = 10_000) -> DataFrame:
+    """subgraph_id, step, novelty: (subgraph_id, score, nodes array) by score and share of nodes not yet seen.
+
+    It orders what a beam has kept; more than ``most`` rows are refused, as one task goes through them again and again.
+    """
+    if subgraphs.count() > most:
+        raise ValueError(f"more than {most} subgraphs: keep the best of a beam first")
     lam = min(bonus, 0.5)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +69,7 @@ def diverse(subgraphs: DataFrame, bonus: float = 0.3, prefilter: int = 50) -> Da
         return pd.DataFrame(out, columns=["subgraph_id", "step", "novelty"])
 
     kind = subgraphs.schema["subgraph_id"].dataType.simpleString()
-    return subgraphs.orderBy(F.desc("score"), "subgraph_id").limit(prefilter).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"subgraph_id {kind}, step int, novelty double")
+    return subgraphs.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"subgraph_id {kind}, step int, novelty double")
 
 
 def bridged(candidates: DataFrame, chosen: DataFrame, most: int = 3) -> DataFrame:

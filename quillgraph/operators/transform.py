@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,12 +38,42 @@ def classify(source: Column, target: Column) -> Column:
     )
 
 
-def candidate_pairs(rows: DataFrame, key: str, text: str, most: int = 50) -> DataFrame:
-    """source, target pairs (source < target) that share a token, blocked on tokens that no more than ``most`` rows hold; each pair once."""
-    tok = rows.select(F.col(key).alias("k"), F.explode(t.tokens(F.col(text))).alias("tok"))
-    rare = tok.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("tok")
-    held = tok.join(rare, "tok")
-    return held.join(held.select("tok", F.col("k").alias("k2")), "tok").where("k < k2").select(F.col("k").alias("source"), F.col("k2").alias("target")).distinct()
+def similar_pairs(sources: DataFrame, targets: DataFrame, key: str, vector: str, k: int, block_rows: int = 2_048) -> DataFrame:
+    """source, target, similarity: of all pairs of a source and a target, the k with the largest cosine, ties to the smaller keys.
+
+    A row makes no pair with itself, and of two rows that are both sources and targets only the smaller is the source.  Every pair is compared,
+    in blocks of at most some ``block_rows`` by ``block_rows``, each of which keeps its own k best.
+    """
+    both = sources.select(key).distinct().join(targets.select(key).distinct(), key)
+    side = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).join(both.select(F.col(key).cast("long").alias(key), F.lit(True).alias("both")), key, "left")
+    s, d = side(sources), side(targets)
+    n_s, n_d = (max(1, -(-x.count() // block_rows)) for x in (s, d))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = s.withColumn("bs", own(n_s)).withColumn("bt", every(n_d))
+    right = d.withColumn("bt", own(n_d)).withColumn("bs", every(n_s))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size in sorted({len(v) for v in a.v}):
+            x, y = a[a.v.map(len) == size], b[b.v.map(len) == size]
+            if not size or not len(y):
+                continue
+            mx, my = np.stack(x.v.to_numpy()), np.stack(y.v.to_numpy())
+            norms = np.sqrt((mx * mx).sum(1))[:, None] * np.sqrt((my * my).sum(1))[None, :]
+            sim = np.divide(mx @ my.T, norms, out=np.zeros_like(norms), where=norms > 0)
+            i, j = x[key].to_numpy()[:, None], y[key].to_numpy()[None, :]
+            ok = (i != j) & ~((x.both == True).to_numpy()[:, None] & (y.both == True).to_numpy()[None, :] & (i > j))  # noqa: E712
+            at = np.flatnonzero(ok)
+            flat = sim.ravel()[at]
+            if len(at) > k:
+                at = at[flat >= np.partition(flat, -k)[-k]]
+            r, c = np.unravel_index(at, sim.shape)
+            out.append(pd.DataFrame({"source": i[r, 0], "target": j[0, c], "similarity": sim[r, c]}).sort_values(["similarity", "source", "target"], ascending=[False, True, True]).head(k))
+        return pd.concat(out) if out else pd.DataFrame({"source": [], "target": [], "similarity": []})
+
+    found = left.groupBy("bs", "bt").cogroup(right.groupBy("bs", "bt")).applyInPandas(best, "source long, target long, similarity double")
+    return top_pairs(found, k)
 
 
 def top_pairs(pairs: DataFrame, k: int) -> DataFrame:

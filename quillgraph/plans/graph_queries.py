@@ -12,14 +12,14 @@ from quillgraph.plans.registry import Inputs, query
 @query(
     """
 , trail(start_, node, hops, path, used) AS (
-  SELECT 's' || CAST(s_suppkey AS STRING), 's' || CAST(s_suppkey AS STRING), 0, '', [''] FROM supplier WHERE s_suppkey < 20
+  SELECT 's' || CAST(s_suppkey AS STRING), 's' || CAST(s_suppkey AS STRING), 0, '', [''] FROM supplier
   UNION ALL SELECT t.start_, e.dst, t.hops + 1, CASE WHEN t.path = '' THEN e.rel_type ELSE t.path || '>' || e.rel_type END, list_append(t.used, e.uid) FROM trail t JOIN graph_edges e ON e.src = t.node WHERE t.hops < 3 AND NOT list_contains(t.used, e.uid))
 SELECT start_ AS "start", node, CAST(min(hops) AS BIGINT) AS hops, arg_min(path, (hops, path)) AS path FROM trail WHERE hops > 0 GROUP BY 1, 2""",
     ("graph_edges",),
 )
 def khop_neighbors(p: Inputs) -> DataFrame:
     """GR-01: nodes within three hops along trails, with the first path."""
-    starts = p.supplier.where("s_suppkey < 20").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    starts = p.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
     return graph.hops(p.graph_edges, starts, 3)
 
 
@@ -260,11 +260,15 @@ def json_merge(p: Inputs) -> DataFrame:
     return p.events.select("event_id", m["k"].cast("long").alias("k"), m["state"].alias("state"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'semantic' WHEN 'view' THEN 'diagnostic' ELSE 'other' END AS kind FROM events")
+@query(
+    """SELECT event_id, CASE event_type WHEN 'error' THEN 'CORROBORATES' WHEN 'view' THEN 'Surface disagreement diagnostic' WHEN 'click' THEN 'Support / corroboration' WHEN 'signup' THEN 'Potential refutation' WHEN 'purchase' THEN 'CONTRADICTS' ELSE 'Claim relationship' END AS label,
+         CASE event_type WHEN 'error' THEN 'support' WHEN 'view' THEN 'diagnostic' WHEN 'click' THEN 'support' WHEN 'signup' THEN 'semantic' WHEN 'purchase' THEN 'semantic' ELSE 'unknown' END AS severity, event_type IN ('error', 'click', 'signup', 'purchase') AS is_semantic FROM events"""
+)
 def relation_kinds(p: Inputs) -> DataFrame:
-    """REV-02."""
-    r = F.when(F.col("event_type") == "error", "temporal_clash").when(F.col("event_type") == "view", "RELIABILITY_DIVERGE").otherwise(F.lit(None).cast("string"))
-    return p.events.select("event_id", runlog.relation_kind(r).alias("kind"))
+    """REV-02: what conflicts say, by relationship, rule or stance."""
+    of = lambda **x: F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in x.items()], F.lit(None).cast("string"))
+    kind = runlog.relation_kind(of(error="SURFACE_MISMATCH", view="SURFACE_MISMATCH", signup="TEMPORAL_CLASH"), of(view="REFUTES", click="SUPPORTS", signup="REFUTES"), of(error="CORROBORATES", purchase="CONTRADICTS"))
+    return p.events.select("event_id", kind.alias("x")).select("event_id", "x.*")
 
 
 @query("SELECT uid FROM (SELECT 's' || CAST(s_suppkey AS STRING) AS uid FROM supplier WHERE s_suppkey % 2 = 0)")

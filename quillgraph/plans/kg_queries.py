@@ -372,7 +372,7 @@ def entity_enrichment(p: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT term_1, arg_min(p_type, p_partkey) AS category FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS term_1 FROM part) JOIN part ON strpos(p_name, term_1) > 0 AND list_contains(string_split(p_name, ' '), term_1) GROUP BY term_1"""
+    """SELECT term_1, arg_min(p_type, p_partkey) AS category FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS term_1 FROM part) JOIN part ON strpos(lower(p_name), lower(term_1)) > 0 GROUP BY term_1"""
 )
 def edge_category_lookup(p: Inputs) -> DataFrame:
     """LAB-04: category of a name by the first known term that contains it."""
@@ -382,13 +382,16 @@ def edge_category_lookup(p: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE WHEN NOT (l.quality IS NOT NULL) AND NOT coalesce(lang = 'en', FALSE) AND n_chars <= 2000 THEN 'new' WHEN l.quality IS NULL THEN 'open:labelled' WHEN NOT coalesce(lang = 'en', FALSE) THEN 'open:translated' WHEN n_chars <= 2000 THEN 'open:long' ELSE 'done' END AS status
+    """SELECT doc_id, CASE WHEN l.quality IS NOT NULL THEN 1 ELSE 0 END AS is_segmented, CASE WHEN n_chars > 0 THEN 1 ELSE 0 END AS is_ocred, CASE WHEN coalesce(lang = 'en', FALSE) THEN 1 ELSE 0 END AS is_entity_extracted, CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS is_relationship_extracted
        FROM documents LEFT JOIN labels l USING (doc_id)"""
 )
 def document_progress(p: Inputs) -> DataFrame:
-    """LAB-05."""
-    d = p.documents.join(p.labels, "doc_id", "left").select("doc_id", F.col("quality").isNotNull().alias("labelled"), (F.col("lang") == "en").alias("translated"), (F.col("n_chars") > 2000).alias("long"))
-    return parse.progress(d, ["labelled", "translated", "long"]).select("doc_id", "status")
+    """LAB-05: which steps of a document have an output with content."""
+    d, one = p.documents, F.lit(1).cast("long")
+    outputs = p.labels.where("quality IS NOT NULL").select("doc_id", F.lit("labels").alias("kind"), one.alias("size"))
+    for kind, size in (("text", F.col("n_chars")), ("entities", (F.col("lang") == "en").cast("long")), ("relationships", F.col("n_chars") - 2000)):
+        outputs = outputs.unionByName(d.select("doc_id", F.lit(kind).alias("kind"), size.alias("size")))
+    return parse.progress(d, outputs, "doc_id")
 
 
 @query(

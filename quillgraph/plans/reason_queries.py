@@ -108,13 +108,15 @@ def text_transform_labels(p: Inputs) -> DataFrame:
 
 @query(
     """
-WITH tok AS (SELECT DISTINCT item_id AS k, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM benchmark),
-rare AS (SELECT tok FROM tok GROUP BY tok HAVING count(*) BETWEEN 2 AND 10)
-SELECT DISTINCT a.k AS source, b.k AS target FROM tok a JOIN rare USING (tok) JOIN tok b ON b.tok = a.tok AND a.k < b.k"""
+WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IN (0, 1)), t AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IN (1, 2)),
+x AS (SELECT s.vec_id AS source, t.vec_id AS target, list_dot_product(s.v, t.v) / (sqrt(list_dot_product(s.v, s.v)) * sqrt(list_dot_product(t.v, t.v))) AS similarity FROM s JOIN t ON s.vec_id <> t.vec_id
+      WHERE NOT (s.vec_id > t.vec_id AND s.label = 1 AND t.label = 1))
+SELECT source, target, round(similarity, 6) AS similarity FROM (SELECT * FROM x ORDER BY similarity DESC, source, target LIMIT 60)"""
 )
 def mapping_pairs(p: Inputs) -> DataFrame:
-    """JN-18: pairs of passages that share a rare token, each once."""
-    return transform.candidate_pairs(p.benchmark, "item_id", "text", 10)
+    """JN-18, TOP-02: the pairs of a source and a target with the largest cosine; vectors of label 1 are both."""
+    e = p.embeddings
+    return transform.similar_pairs(e.where("label IN (0, 1)"), e.where("label IN (1, 2)"), "vec_id", "embedding", 60, 100).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
@@ -169,18 +171,13 @@ def synthesis_confidence(p: Inputs) -> DataFrame:
 
 
 @query(
-    """, d AS (SELECT uid, product(CASE WHEN type = 'rebutting' THEN greatest(0.4::DOUBLE, 0.6::DOUBLE - (cluster_size - 1) * 0.05::DOUBLE) ELSE 0.8::DOUBLE END) AS f FROM defeaters GROUP BY uid)
-       SELECT uid, round(confidence, 9) AS confidence, round(CASE WHEN f IS NULL THEN confidence ELSE greatest(confidence * f, 0.01) END, 3) AS updated FROM inferences LEFT JOIN d USING (uid)""",
+    """, d AS (SELECT uid, product(CASE WHEN type = 'rebutting' THEN greatest(0.4::DOUBLE, 0.6::DOUBLE - (cluster_size - 1) * 0.05::DOUBLE) ELSE 0.8::DOUBLE END) AS f, count(*) AS n FROM defeaters GROUP BY uid)
+       SELECT uid, round(confidence, 9) AS confidence, CASE WHEN f IS NULL THEN round(confidence, 9) ELSE CAST(round(CAST(greatest(confidence * f, 0.01) AS DECIMAL(18,12)), 4) AS DOUBLE) END AS updated, coalesce(n, 0) AS defeaters FROM inferences LEFT JOIN d USING (uid)""",
     ("inferences", "defeaters"),
 )
 def defeater_weakening(p: Inputs) -> DataFrame:
     """AGG-21: the product of the penalties."""
-    out = construct.weakened(p.inferences, p.defeaters)
-    # The rule rounds to four digits; three are compared, of the unrounded value.
-    raw = p.defeaters.groupBy("uid").agg(F.product(F.when(F.col("type") == "rebutting", F.greatest(F.lit(0.4), 0.6 - (F.col("cluster_size") - 1) * 0.05)).otherwise(0.8)).alias("f"))
-    both = out.join(raw, "uid", "left")
-    exact = F.when(F.col("f").isNull(), F.col("confidence")).otherwise(F.greatest(F.col("confidence") * F.col("f"), F.lit(0.01)))
-    return both.where(F.abs(F.col("updated") - exact) <= 0.00006).select("uid", "confidence", F.round(exact, 3).alias("updated"))
+    return construct.weakened(p.inferences, p.defeaters)
 
 
 @query(
@@ -215,15 +212,23 @@ def cross_slot_inferences(p: Inputs) -> DataFrame:
     return construct.cross_slot(p.claims, "question")
 
 
-@query("SELECT claim_uid, CASE WHEN status = 'contested' OR confidence < 0.35 THEN 'HIGH' WHEN confidence < 0.6 OR n_witnesses < 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM claims", ("claims",))
+_BANDS = "CASE WHEN confidence - 0.5 > 0.2 THEN 'STABLE' WHEN confidence - 0.5 > 0.1 THEN 'MARGINAL' WHEN confidence - 0.5 > 0 THEN 'SENSITIVE' ELSE 'BELOW_FLOOR' END"
+
+
+@query(
+    f""", b AS (SELECT claim_uid, {_BANDS} AS band FROM inferences)
+       SELECT claim_uid, CASE WHEN status = 'contested' OR coalesce(band, '') = 'SENSITIVE' THEN 'HIGH' WHEN coalesce(band, '') = 'MARGINAL' OR n_witnesses = 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM claims LEFT JOIN b USING (claim_uid)""",
+    ("claims", "inferences"),
+)
 def uncertainty_map(p: Inputs) -> DataFrame:
-    """AGG-27: how uncertain claims are."""
-    return construct.uncertainty(p.claims)
+    """AGG-27: how uncertain claims are, by contest, sensitivity and number of witnesses."""
+    bands = construct.sensitivity(p.inferences).join(p.inferences.select("uid", "claim_uid"), "uid").select("claim_uid", F.col("band").alias("sensitivity"))
+    return construct.uncertainty(p.claims.join(bands, "claim_uid", "left"))
 
 
-@query("SELECT uid, round(confidence - 0.5, 6) AS margin, CASE WHEN round(confidence - 0.5, 6) >= 0.25 THEN 'robust' WHEN round(confidence - 0.5, 6) >= 0.1 THEN 'stable' WHEN round(confidence - 0.5, 6) >= 0 THEN 'fragile' ELSE 'below' END AS band FROM inferences", ("inferences",))
+@query(f"SELECT uid, round(confidence - 0.5, 4) AS margin, {_BANDS} AS band FROM inferences", ("inferences",))
 def sensitivity_bands(p: Inputs) -> DataFrame:
-    """AGG-27."""
+    """AGG-27: margins over the floor at which an answer is accepted."""
     return construct.sensitivity(p.inferences)
 
 
@@ -233,10 +238,15 @@ def tether_completeness(p: Inputs) -> DataFrame:
     return construct.tethered(p.customer.select(F.col("c_custkey").alias("statement_id")), p.orders.select(F.col("o_custkey").alias("statement_id"), F.col("o_orderkey").alias("witness_uid")))
 
 
-@query("SELECT 'c' || CAST(o_custkey AS STRING) AS claim_uid, round(avg(o_totalprice / 500000), 9) AS reliability FROM orders GROUP BY o_custkey")
+@query(
+    """, r AS (SELECT claim_uid, CAST(sum(CAST(CASE WHEN quality = 'AMBIGUOUS' THEN 0.5 ELSE reliability_score END AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS reliability FROM witnesses GROUP BY 1)
+       SELECT claim_uid, round(reliability, 9) AS reliability, CASE WHEN reliability >= 0.8 THEN round(least(confidence * 1.0, 1.0), 4) ELSE round(confidence, 9) END AS confidence FROM claims LEFT JOIN r USING (claim_uid)""",
+    ("witnesses", "claims"),
+)
 def claim_reliability(p: Inputs) -> DataFrame:
-    """AGG-26."""
-    return construct.claim_reliability(p.witnesses.select("claim_uid", F.col("reliability_score").alias("reliability")))
+    """AGG-26: mean reliability of a claim's witnesses (of ambiguous ones, none is known) and the confidence that it weighs."""
+    grounds = p.witnesses.select("claim_uid", F.when(F.col("quality") != "AMBIGUOUS", F.col("reliability_score")).alias("reliability"))
+    return construct.trusted(p.claims.select("claim_uid", "confidence"), grounds)
 
 
 @query("SELECT claim_uid, CASE quality WHEN 'GROUNDED' THEN 'supported' WHEN 'INFERRED' THEN 'weakly-supported' ELSE 'proposed' END AS status FROM claims WHERE NOT (quality = 'AMBIGUOUS' AND confidence = 0)", ("claims",))
@@ -312,16 +322,14 @@ def entity_confidence(p: Inputs) -> DataFrame:
 
 @query(
     """, h AS (SELECT DISTINCT hypothesis, anchor_id FROM mentions), c AS (SELECT hypothesis, max(confidence) AS c FROM mentions GROUP BY 1)
-       SELECT a.hypothesis AS src, b.hypothesis AS dst, count(*) AS shared, round(least(0.86, 0.52 + least(0.14, 0.06 * count(*)) + least(0.1, 0.1 * min(x.c)) + least(0.1, 0.1 * min(y.c))), 3) AS confidence
+       SELECT a.hypothesis AS src, b.hypothesis AS dst, count(*) AS shared, CAST(round(CAST(least(0.86, 0.52 + least(0.14, 0.06 * count(*)) + least(0.1, 0.1 * min(x.c)) + least(0.1, 0.1 * min(y.c))) AS DECIMAL(18,9)), 4) AS DOUBLE) AS confidence
        FROM h a JOIN h b ON a.anchor_id = b.anchor_id AND a.hypothesis < b.hypothesis JOIN c x ON x.hypothesis = a.hypothesis JOIN c y ON y.hypothesis = b.hypothesis GROUP BY 1, 2""",
     ("mentions",),
 )
 def anchor_links(p: Inputs) -> DataFrame:
     """GR-11, SLT-11, STR-18: hypotheses that share anchors."""
     out = mentions.shared_links(p.mentions, "anchor_id")
-    c = scores.shared_anchor_confidence(F.col("src_confidence"), F.col("dst_confidence"), F.col("shared"))
-    raw = F.least(F.lit(0.86), 0.52 + F.least(F.lit(0.14), 0.06 * F.col("shared")) + F.least(F.lit(0.1), 0.1 * F.col("src_confidence")) + F.least(F.lit(0.1), 0.1 * F.col("dst_confidence")))
-    return out.where(F.abs(c - raw) <= 0.0001).select("src", "dst", "shared", F.round(raw, 3).alias("confidence"))
+    return out.select("src", "dst", "shared", scores.shared_anchor_confidence(F.col("src_confidence"), F.col("dst_confidence"), F.col("shared")).alias("confidence"))
 
 
 @query("SELECT hypothesis, candidate, round(total, 9) AS total, support, rank FROM (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY total DESC, candidate) AS rank FROM (SELECT hypothesis, artifact_id AS candidate, sum(confidence * 1.0) AS total, count(DISTINCT mention_id) AS support FROM mentions GROUP BY 1, 2))", ("mentions",))
@@ -397,8 +405,13 @@ def default_reliability(p: Inputs) -> DataFrame:
     return p.supplier.select("s_suppkey", scores.default_reliability(pick(2, "document", "derived"), pick(4, "primary", "secondary", "tertiary", "other"), pick(3, "aggregation", "direct-capture", "manual")).alias("reliability"))
 
 
-@query("SELECT o_orderkey, 'ord' || lpad(CAST(o_orderkey % 1000 AS STRING), 4, '0') AS exhibits FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'WHAT: EVIDENCE:  WHAT: WHAT: twice. ord' WHEN 1 THEN 'ord' ELSE 'In [sic] ord' END || lpad(CAST(o_orderkey % 1000 AS STRING), 4, '0') || ' it was so.' AS statement, 'ord' || lpad(CAST(o_orderkey % 1000 AS STRING), 4, '0') AS exhibits FROM orders"""
+)
 def exhibits(p: Inputs) -> DataFrame:
-    """CON-03, STR-29: document ids named in statements."""
-    text = F.concat(F.lit("As [sic] said in ord"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 4, "0"), F.lit(", it was so."))
-    return p.orders.select("o_orderkey", t.document_ids(t.clean_statement(text)).alias("exhibits"))
+    """CON-03, STR-29: statements without slots and openings, and the document ids that they name."""
+    k = F.col("o_orderkey") % 3
+    opening = F.when(k == 0, "EVIDENCE: HOW: WHO: OUTCOME: WHAT: EVIDENCE:  WHAT: WHAT: twice. ord").when(k == 1, " WHEN: Responsibility chain: ord").otherwise("In [sic] ord")
+    text = F.concat(opening, F.lpad((F.col("o_orderkey") % 1000).cast("string"), 4, "0"), F.lit(" it was so.  "))
+    said = t.clean_statement(text)
+    return p.orders.select("o_orderkey", said.alias("statement"), t.document_ids(said).alias("exhibits"))

@@ -64,8 +64,8 @@ PROXIES = {
         FROM events WHERE event_type = 'signup'""",
     "threads": """
         SELECT conv_id, turn, CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) AS msg, role, text FROM conversations""",
-    "short_docs": """
-        SELECT doc_id, lang, source, n_chars, substr(lower(text), 1, 200) AS text FROM documents""",
+    "lower_docs": """
+        SELECT doc_id, lang, source, n_chars, lower(text) AS text FROM documents""",
 }
 
 
