@@ -1,40 +1,46 @@
 """Approximate nearest neighbours with learned partitions.
 
-Fitting, on at most ``sample_rows`` vectors (those with the smallest hash of their id): the exact neighbour graph of the sample is cut into
-balanced parts with few edges between them, and a small network learns from a vector the parts of its neighbours.  The number of parts
-follows the number of rows; how many of the most probable parts a query must visit for ``recall`` of its neighbours is measured on sample
-vectors that the network has not seen.
+Equal vectors are one from the start, with the ``k`` + 1 first of their rows, which are all that can be among the nearest.
 
-Indexing.  Every vector, sampled or not, goes to its most probable part.  A part is searched in blocks of at most about ``block_rows`` rows, by
-a seeded hash, so a part (or one vector) that holds a third of all rows is the work of many tasks.
+Fitting.  All vectors of one length are a node.  A node of more than ``part_rows`` vectors is split: a task takes at most ``sample_rows`` of them
+(those with the smallest hashes), cuts the exact neighbour graph of the sample into balanced parts with few edges between them (up to
+``FANOUT``, following the node's size), and a small network learns from a vector the parts of its neighbours.  How many of the most probable
+parts a query must visit for ``recall`` of its neighbours is measured on sample vectors that the network has not seen.
 
-Searching.  A query goes to the blocks of its parts; a block gives its best ``k`` by cosine in double precision on the original vectors; the
-best of all blocks are ranked.  Ties go to the smaller id: scores that decide are computed row by row, so equal vectors have equal scores.
+Indexing.  Every vector, sampled or not, goes to its most probable part; parts that are still too large are split again, so parts stay of one
+size and the work follows the number of rows.  Rows meet their network in blocks of a bounded number.
 
-Defined results: vectors that are null, zero, hold a null or non-finite component, or have another length than most of the sample, take no
-part, as query or candidate; so do rows without id; rows that repeat a vec_id are one candidate; with few rows there is one part and the
-search is exact; an empty table gives an empty result; other columns are ignored.
+Searching.  A query follows its most probable parts down to the last ones.  These are searched in blocks of at most about ``block_rows`` vectors
+and as many queries; a block gives its best by cosine in double precision on the original vectors, and the best of all blocks are ranked.
+Ties go to the smaller id: scores that decide are computed row by row, so equal vectors have equal scores.
+
+Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, as query or candidate; so do rows without
+id.  Vectors of different lengths have no cosine: each is searched among those of its own.  Rows that repeat a vec_id are rows of their own: each
+is a candidate for all but itself, and each that is a query has its own answer.  Where no node is large the search is exact; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import settled
+from quillgraph.llm.common import discard, settled, small, spread_join
 
 SAMPLE_ROWS = 6_000
-PART_ROWS = 1_024
-MOST_PARTS = 256
+PART_ROWS = 256
+FANOUT = 128
+MOST_LEVELS = 8
 BLOCK_ROWS = 4_096
 NEIGHBOURS = 10
-RECALL = 0.97
+RECALL = 0.98
 
 
 @dataclass
@@ -126,6 +132,7 @@ def fit(vectors: np.ndarray, parts: int, recall: float = RECALL, k: int = NEIGHB
     np.add.at(target, (np.repeat(np.arange(len(unit)), graph.shape[1]), label[graph].ravel()), 1.0)
     target[np.arange(len(unit)), label] += 1.0
     target /= target.sum(1, keepdims=True)
+    hidden = min(hidden, max(16, len(unit) // 8))
     p = [rng.normal(0, (2 / dim) ** 0.5, (dim, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, (hidden, parts)), np.zeros(parts)]
     m, s, t = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
     learn = len(unit) * 4 // 5
@@ -159,32 +166,48 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 1))
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Rows of lists of one length."""
+    flat = lists.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Scaled first: the square of a component may not be finite, or zero, where the component is neither."""
+    if not len(x):
+        return x
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-def _placed(router: Router, dim: int):
-    """Binary vectors with their part, and the parts that they visit if they are queries."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("v")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(sizes == dim)
-            part = batch.take(pa.array(keep))
-            x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keep), dim)
-            # Scale first: the square of a component may not be finite, or zero, where the component is neither.
-            unit = x / np.abs(x).max(1, keepdims=True) if len(x) else x
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) if len(x) else x
-            order = router.ranked(unit) if len(x) else np.zeros((0, 1), int)
-            ids, query = part.column("vec_id"), part.column("query").to_pylist()
-            visits = [order[i, : router.probes].tolist() if q else [] for i, q in enumerate(query)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in x], pa.binary()), pa.array(order[:, 0].astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], ["vec_id", "v", "part", "visits"])
+def _fitted(recall: float, part_rows: int):
+    """A node's router out of its sample."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key")
+        n = int(rows.n.iloc[0])
+        router = fit(_unit(np.stack(rows.v.to_numpy()).astype(float)), min(FANOUT, -(-n // part_rows)), recall)
+        return pd.DataFrame({"node": [rows.node.iloc[0]], "router": [pickle.dumps(router)]})
 
     return run
 
 
+def _routed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The rows of a block with their part, or as queries once for every part that they visit.  A node that has but one part is final."""
+    if not left.num_rows:
+        return left.select(["key", "v", "node", "query"])
+    router: Router = pickle.loads(right.column("router")[0].as_py())
+    order = router.ranked(_unit(_matrix(left.column("v"))))
+    query = left.column("query").to_numpy(zero_copy_only=False)
+    times = np.where(query, router.probes, 1)
+    at = np.repeat(np.arange(left.num_rows), times)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    node = left.column("node")[0].as_py()
+    names = pa.array([f"{node}!" if router.parts == 1 else f"{node}/{x}" for x in order[at, place].tolist()], pa.string())
+    rows = left.take(pa.array(at))
+    return pa.table({"key": rows.column("key"), "v": rows.column("v"), "node": names, "query": rows.column("query")})
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of one vector with each row, the same sum order for every row."""
     q, x = q / np.abs(q).max(), x / np.abs(x).max(1, keepdims=True)
@@ -192,34 +215,23 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _block(k: int):
+    """The ``k`` + 1 best rows of a block for every query, one of which may be the query's own."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        qs, xs, out = _matrix(left.column("qv").combine_chunks()), _matrix(right.column("v").combine_chunks()), []
-        q_ids, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+        qs, xs, out = _matrix(left.column("v")), _matrix(right.column("v")), []
+        q_keys, held = left.column("key").to_pylist(), right.column("held").to_pylist()
         if len(qs) and len(xs):
-            # Places of a block are counted over ids: the rows of one vec_id side by side, and the first of each.
-            by_id = np.argsort(ids, kind="stable")
-            firsts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
-            scaled = xs / np.abs(xs).max(1, keepdims=True)
-            unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+            unit, asked = _unit(xs), _unit(qs)
             for a in range(0, len(qs), 256):
-                q = qs[a : a + 256]
-                rough = (q / np.abs(q).max(1, keepdims=True)) @ unit.T
-                for i, row in enumerate(rough):
-                    scale = np.linalg.norm(q[i] / np.abs(q[i]).max())
-                    row = np.where(ids == q_ids[a + i], -np.inf, row / scale)
-                    top = np.maximum.reduceat(row[by_id], firsts)
-                    least = np.partition(top, -k)[-k] if len(top) > k else -np.inf
-                    hit = np.flatnonzero((row >= least - 1e-9) & (row > -np.inf))
-                    exact = cosines(q[i], xs[hit])
-                    best = np.lexsort((ids[hit], -exact))
-                    seen: set[int] = set()
-                    for j in best:
-                        if len(seen) == k:
-                            break
-                        if int(ids[hit[j]]) not in seen:
-                            seen.add(int(ids[hit[j]]))
-                            out.append((int(q_ids[a + i]), int(ids[hit[j]]), float(exact[j])))
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
+                rough = asked[a : a + 256] @ unit.T
+                for i, row in enumerate(rough, a):
+                    least = np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -np.inf
+                    hit = np.flatnonzero(row >= least - 1e-9)
+                    exact = cosines(qs[i], xs[hit])
+                    found = [(-float(s), h["vec_id"], h["uid"]) for s, j in zip(exact, hit.tolist(), strict=True) for h in held[j]]
+                    out += [(q_keys[i], v, u, -s) for s, v, u in sorted(found)[: k + 1]]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("key", "vec_id", "uid", "score"), columns, (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     return run
 
@@ -228,24 +240,48 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RE
     """query_id, rank, vec_id, score: the k nearest found of every row that passes ``is_query`` (a condition on vec_id)."""
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     usable = usable.select("vec_id", F.col("v").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    rows = usable.count()
-    # Bounded by sample_rows.
-    sample = [r.v for r in usable.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()]
-    lengths = [len(v) for v in sample]
-    dim = max(sorted(set(lengths)), key=lengths.count) if lengths else 1
-    x = np.array([v for v in sample if len(v) == dim], float).reshape(-1, dim)
-    x = x / np.abs(x).max(1, keepdims=True) if len(x) else x
-    router = fit(x, int(min(MOST_PARTS, max(1, rows // part_rows))), recall)
-    index = settled(usable.mapInArrow(_placed(router, dim), "vec_id long, v binary, part int, visits array<int>"), "index")
-    sizes = index.groupBy("part").agg(F.count("*").alias("n")).collect()  # one row per part, of which there are at most MOST_PARTS
-    blocks = np.ones(max(router.parts, 1), int)
-    for r in sizes:
-        blocks[r.part] = max(1, -(-r.n // block_rows))
-    n_blocks = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("part") + 1)
-    candidates = index.select("part", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int").alias("block"), "vec_id", "v")
-    asked = index.where(F.size("visits") > 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.explode("visits").alias("part"))
-    asked = asked.select("query_id", "qv", "part", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
-    found = asked.groupBy("part", "block").cogroup(candidates.groupBy("part", "block")).applyInArrow(_block(k), "query_id long, vec_id long, score double")
-    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    key = F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), "v")), F.hex(F.xxhash64(F.lit(2), "v")))
+    rows = settled(usable.withColumns({"uid": F.monotonically_increasing_id(), "key": key}), "vectors")
+    first = rows.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy("vec_id", "uid"))).where(F.col("i") <= k + 1)
+    distinct = settled(first.groupBy("key").agg(F.any_value("v").alias("v"), F.array_sort(F.collect_list(F.struct("vec_id", "uid"))).alias("held")), "distinct")
+    asking = rows.where("query").select("key", F.col("vec_id").alias("query_id"), F.col("uid").alias("own"))
+
+    root = distinct.select("key", "v", F.size("v").cast("string").alias("node"))
+    now = settled(root.withColumn("query", F.lit(False)).unionByName(root.join(asking.select("key").distinct().hint("merge"), "key", "left_semi").withColumn("query", F.lit(True))), "placed")
+    final = []
+    for _ in range(MOST_LEVELS):
+        sizes = settled(now.where("NOT query").groupBy("node").agg(F.count("*").alias("n")), "sizes")
+        large = sizes.where((F.col("n") > part_rows) & ~F.col("node").endswith("!"))
+        n_large = large.count()
+        if not n_large:
+            break
+        split = settled(now.join(small(large, n_large), "node"), "split")
+        final.append(settled(now.join(small(large, n_large), "node", "left_anti"), "final"))
+        spot = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+        chosen = split.where(~F.col("query") & (spot < (sample_rows + 7 * sample_rows**0.5 + 50) / F.col("n") * (1 << 40))).withColumn("spot", spot)
+        chosen = chosen.withColumn("i", F.row_number().over(W.partitionBy("node").orderBy("spot", "key"))).where(F.col("i") <= sample_rows).select("node", "n", "key", "v")
+        routers = settled(chosen.groupBy("node").applyInPandas(_fitted(recall, part_rows), "node string, router binary"), "routers")
+        blocks = F.ceil(F.col("n") / block_rows).cast("int")
+        left = split.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+        right = routers.join(large, "node").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("node", "block", "router")
+        right = right.toDF(*right.columns)
+        moved = left.groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInArrow(_routed, "key string, v array<double>, node string, query boolean")
+        last, now = now, settled(moved, "placed")
+        discard(last, sizes, split, routers)
+    for part in final:
+        now = now.unionByName(part)
+    counted = settled(now.groupBy("node").agg(F.count_if(~F.col("query")).alias("n"), F.count_if("query").alias("asked")).where("n > 0 AND asked > 0"), "counted")
+    n_parts = counted.count()
+    blocks, turns = F.ceil(F.col("n") / block_rows).cast("int"), F.ceil(F.col("asked") / block_rows).cast("int")
+    met = now.join(small(counted, n_parts), "node")
+    each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    own = lambda count: F.pmod(F.xxhash64("key", F.lit(7)), count).cast("int")
+    candidates = met.where("NOT query").withColumn("block", own(blocks)).withColumn("turn", each(turns)).join(distinct.select("key", "held").hint("merge"), "key").select("node", "block", "turn", "v", "held")
+    asked = met.where("query").withColumn("turn", own(turns)).withColumn("block", each(blocks)).select("node", "block", "turn", "key", "v")
+    by = ("node", "block", "turn")
+    candidates = candidates.toDF(*candidates.columns)  # columns of its own, as both sides come from one table
+    found = asked.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInArrow(_block(k), "key string, vec_id long, uid long, score double")
+    best = found.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "vec_id", "uid"))).where(F.col("i") <= k + 1)
+    best = settled(best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "vec_id", "uid", "score"))).alias("best")), "best")
+    answers = spread_join(asking, asking.count(), "key", best).select("query_id", "own", F.slice(F.filter("best", lambda x: x["uid"] != F.col("own")), 1, k).alias("best"))
+    return answers.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

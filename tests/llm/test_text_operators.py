@@ -473,11 +473,34 @@ def test_few_and_equal_neighbours(spark):
     assert learned_ann.nearest(df.where("FALSE"), F.lit(True)).isEmpty()
 
 
-def test_nearest_counts_repeated_rows_once(spark):
-    angles = [(0, 0.0), *[(1, 0.01 * i) for i in range(1, 7)], (2, 0.2), (2, 0.21), (3, 0.3), (4, 0.4), (5, 0.5), (6, 0.6)]
-    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in angles]
-    got = learned_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).collect()
-    assert [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r["rank"])] == [(i, round(float(np.cos(a)), 9)) for i, a in [(1, 0.01), (2, 0.2), (3, 0.3), (4, 0.4), (5, 0.5)]]
+def test_nearest_takes_repeated_ids_as_rows(spark):
+    angles = [(0, 0.0), *[(1, 0.01 * i) for i in range(1, 4)], (2, 0.2), (2, 0.21), (3, 0.3), (4, 0.4), (0, 0.05)]
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))], "clash") for i, a in angles] + [(50, [1.0, 0.0, 0.0], "c"), (51, [2.0, 0.1, 0.0], "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = collections.defaultdict(list)
+    for r in learned_ann.nearest(df, F.col("vec_id") % 50 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    own = lambda at: sorted(((i, round(float(np.cos(a - at)), 9)) for i, a in angles if a != at), key=lambda x: (-x[1], x[0]))[:5]
+    assert sorted(got[0]) == sorted(own(0.0) + own(0.05))
+    assert got[50] == [(51, round(2 / math.hypot(2, 0.1), 9))]  # of its own length only
+
+
+def test_neighbours_of_copies_and_of_many_levels(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + 0.5 * rng.normal(size=8)).tolist()) for i in range(1200)] + [(i, [1.0] * 8) for i in range(1200, 1800)]
+    got = collections.defaultdict(list)
+    old, learned_ann.FANOUT = learned_ann.FANOUT, 4
+    try:
+        for r in learned_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, sample_rows=400, part_rows=64, block_rows=50).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+    finally:
+        learned_ann.FANOUT = old
+    queries = [i for i, _ in rows if i % 50 == 0]
+    assert sorted(got) == queries and all(len(v) == 5 for v in got.values())
+    assert got[1250] == [1200, 1201, 1202, 1203, 1204] and got[1200] == [1201, 1202, 1203, 1204, 1205]
+    hits = sum(len(set(exact(rows, i, 5)) & set(got[i])) for i in queries if i < 1200)
+    assert hits >= 0.9 * 5 * 24
 
 
 def test_wrappers_of_the_article_are_not_boilerplate():
