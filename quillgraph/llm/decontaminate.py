@@ -6,12 +6,15 @@ the item is one window as a whole.
 
 1. Anchors.  Such a window shares all but u = m (1 - t) / (1 + t) of its m shingles with the item, so it has a run of at least
    (m - u) / (u + 1) shared ones in a row.  It is enough to look up every k-th shingle of a document, k the shortest such run of any item.
-2. Windows.  Every window that holds enough looked-up shingles of an item (all of the window but u) is a candidate, whatever the order of
-   words within it; it gets a SimHash over its shingles.
-3. Search.  Fingerprints and items of one size meet on ``radius`` + 1 blocks of bits: two that differ in at most ``radius`` bits agree on one
-   block at least, so all fingerprints within the radius are found.  A document shorter than the item goes to the proof at once.
+2. Windows.  Every window that holds enough looked-up shingles of an item (all of the window but u) is a candidate for that item, whatever the
+   order of words within it; it gets a SimHash over its shingles.
+3. Search.  A window and its items meet on ``radius`` + 1 blocks of bits: two fingerprints that differ in at most ``radius`` bits agree on one
+   block at least, so all within the radius are found.  A document shorter than the item goes to the proof at once.
 4. Proof.  The exact weighted similarity decides.
 
+Blocks alone would not tell items apart, as a radius wide enough for ``similarity`` leaves blocks of two or three bits; so the item that a
+window is a candidate for is part of the key, and a window never meets an item that it shares no shingles with.
+
 The benchmark's shingles are broadcast only if they are counted to be at most ``MOST_BROADCAST``; beyond that the joins are by shuffle.
 
 Defined results: words are lower-cased; null and empty texts and items match nothing; rows without doc_id or item_id are not searched;
@@ -31,7 +34,7 @@ from quillgraph.llm.common import packed, settled, small, unpacked
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 20
+RADIUS = 24
 MOST_BROADCAST = 200_000
 MOST_STRIDE = 8
 
@@ -59,11 +62,6 @@ def _blocks(radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def _counted(hashes: str) -> Column:
-    """Array of (h, w): distinct values of an array and how often each is in it."""
-    return F.transform(F.array_distinct(hashes), lambda h: F.struct(h.alias("h"), F.size(F.filter(hashes, lambda x: x == h)).alias("w")))
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start (first word of the best window), n_words (its size): every contaminated document and item."""
     spent = (1 - similarity) / (1 + similarity)
@@ -81,9 +79,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, simil
 
 def _matches(docs: DataFrame, items: DataFrame, width: int, step: int, shingles: int, similarity: float, radius: int) -> DataFrame:
     hashed = items.select("item_id", "n", "m", "u", _shingles(F.col("words"), F.lit(0), F.col("m") - 1, width).alias("hashes"))
-    weighted = settled(hashed.select("item_id", "n", "m", "u", F.explode(_counted("hashes")).alias("s")).select("item_id", "n", "m", "u", "s.h", "s.w"), "weighted")
+    weighted = settled(hashed.select("item_id", "n", "m", "u", F.explode("hashes").alias("h")).groupBy("item_id", "n", "m", "u", "h").agg(F.count("*").alias("w")), "weighted")
     sized = lambda df: small(df, shingles, MOST_BROADCAST)
     prints = settled(_fingerprints(weighted, ["item_id", "n"]), "prints")
+    n_blocks = prints.count() * (radius + 1)
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words")).where("words IS NOT NULL").withColumn("size", F.size("words")).where(F.col("size") >= width)
     # 1. Anchors: only ids, places and hashes leave the scan; most meet no item and end here.  A whole document of M < m shingles can reach the
     # similarity if M >= t m; then (M - t m) / (1 + t) of its shingles at most are not the item's, and every k-th from the first on is enough.
@@ -92,11 +91,18 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, step: int, shingles:
     hits = looked.join(sized(weighted.select("item_id", "n", "m", "u", "h")), "h").withColumn("own", F.least("n", "size") - width + 1)
     hits = hits.where((F.col("own") == F.col("m")) | (spare >= -1e-9)).withColumn("u", F.when(F.col("own") == F.col("m"), F.col("u")).otherwise(F.floor(spare / (1 + similarity) + 1e-9).cast("int")))
     hits = settled(hits.select("doc_id", "size", "item_id", "n", "m", "own", "u", (F.col("at") * step).alias("pos")).distinct(), "hits")
-    # 2. Windows that hold enough of them: of the looked-up shingles of a window, at most u are not the item's.
+    # 2. Windows that hold enough of them: of the looked-up shingles of a window, at most u are not the item's.  A hit is in the windows from
+    # ``first`` to ``last``; between these places the number of hits does not change, so only starts that reach the least number are made.
     first, last = F.greatest(F.lit(0), F.col("pos") - F.col("own") + 1), F.greatest(F.lit(0), F.least(F.col("pos"), F.col("size") - F.col("n")))
-    opened = hits.where(first <= last).select("doc_id", "item_id", "n", "m", "own", "u", F.explode(F.sequence(first, last)).alias("start"))
+    pair = ["doc_id", "item_id", "n", "m", "own", "u"]
+    edges = hits.where(first <= last).select(*pair, F.explode(F.array(F.struct(first.alias("start"), F.lit(1).alias("d")), F.struct((last + 1).alias("start"), F.lit(-1).alias("d")))).alias("e"))
+    by = W.partitionBy(*pair).orderBy("start")
+    steps = edges.groupBy(*pair, F.col("e.start").alias("start")).agg(F.sum("e.d").alias("d"))
+    runs = steps.withColumns({"found": F.sum("d").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)), "until": F.lead("start").over(by)})
+    runs = runs.where(F.col("until").isNotNull() & (F.col("found") >= F.greatest(F.lit(1), F.floor(F.col("own") / step) - F.col("u"))))
+    opened = runs.withColumn("start", F.explode(F.sequence(F.col("start"), F.col("until") - 1)))
     asked = F.ceil((F.col("start") + F.col("own")) / F.lit(step)) - F.ceil(F.col("start") / F.lit(step))
-    enough = opened.groupBy("doc_id", "item_id", "n", "m", "own", "u", "start").agg(F.count("*").alias("found")).where(F.col("found") >= F.greatest(F.lit(1), asked - F.col("u")))
+    enough = opened.where(F.col("found") >= F.greatest(F.lit(1), asked - F.col("u")))
     enough = settled(enough.select("doc_id", "item_id", "start", "n", "m", "own"), "enough")
     windows = enough.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "m", "own")).alias("windows"))
     # Texts are shuffled as they are, and cut to words behind the join.
@@ -108,12 +114,13 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, step: int, shingles:
     pieces = cut.where("own = m").select("doc_id", "start", "n", F.explode("hashes").alias("h")).withColumn("w", F.lit(1))
     marked = settled(_fingerprints(pieces, ["doc_id", "start", "n"]), "marked")
     # 3. Search by blocks.
-    near = marked.select("doc_id", "start", "n", "fp", F.explode(_blocks(radius)).alias("b")).select("doc_id", "start", "n", "fp", "b.block", "b.bits")
-    known = prints.withColumn("item_fp", F.col("fp")).select("item_id", "n", "item_fp", F.explode(_blocks(radius)).alias("b")).select("item_id", "n", "item_fp", "b.block", "b.bits")
-    met = near.join(sized(known), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("doc_id", "start", "n", "item_id", (F.col("n") - width + 1).alias("own")).distinct()
+    own = enough.where("own = m").select("doc_id", "start", "n", "item_id")
+    near = marked.join(own, ["doc_id", "start", "n"]).select("doc_id", "start", "n", "item_id", "fp", F.explode(_blocks(radius)).alias("b")).select("doc_id", "start", "n", "item_id", "fp", "b.block", "b.bits")
+    known = prints.withColumn("item_fp", F.col("fp")).select("item_id", "item_fp", F.explode(_blocks(radius)).alias("b")).select("item_id", "item_fp", "b.block", "b.bits")
+    met = near.join(small(known, n_blocks, MOST_BROADCAST), ["item_id", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("doc_id", "start", "n", "item_id", (F.col("n") - width + 1).alias("own")).distinct()
     met = met.unionByName(enough.where("own < m").select("doc_id", "start", "n", "item_id", "own"))
     # 4. Proof: the weight that both have, over the weight that either has.
-    pairs = met.join(cut, ["doc_id", "start", "n", "own"]).select("doc_id", "start", "m", "own", "item_id", F.explode(_counted("hashes")).alias("s")).select("doc_id", "start", "m", "own", "item_id", "s.h", F.col("s.w").alias("held"))
+    pairs = met.join(cut, ["doc_id", "start", "n", "own"]).select("doc_id", "start", "m", "own", "item_id", F.explode("hashes").alias("h")).groupBy("doc_id", "start", "m", "own", "item_id", "h").agg(F.count("*").alias("held"))
     both = pairs.join(sized(weighted.select("item_id", "h", "w")), ["item_id", "h"]).groupBy("doc_id", "start", "m", "own", "item_id").agg(F.sum(F.least("held", "w")).alias("both"))
     scored = both.withColumn("similarity", F.col("both") / (F.col("m") + F.col("own") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
     best = F.row_number().over(W.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "start"))
