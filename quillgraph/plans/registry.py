@@ -73,14 +73,14 @@ class Inputs:
     """Tables and proxies by name."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self._spark, self._folder = spark, folder
+        self.spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return table(self._spark, self._folder, name)
+            return table(self.spark, self._folder, name)
         used = [x for x in TABLES if re.search(rf"\b(?:FROM|JOIN) {x}\b", PROXIES[name])]
         text = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], PROXIES[name])
-        return self._spark.sql(text, **{x: table(self._spark, self._folder, x) for x in used})
+        return self.spark.sql(text, **{x: table(self.spark, self._folder, x) for x in used})
 
 
 def plain(df: DataFrame, digits: int = 9) -> DataFrame:
