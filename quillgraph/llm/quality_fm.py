@@ -85,7 +85,7 @@ class Model:
     std: np.ndarray
 
     def scores(self, stats: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        z = np.clip((stats - self.mean) / self.std, -4, 4).astype(np.float32)
+        z = np.clip((stats - self.mean) / self.std, -4, 4)
         n = 1 << BITS
         x = np.where(counts > 0, WORD_WEIGHT / np.maximum(counts, 1), 0)
         # Words in runs of a bounded number, so that no text makes the gathered rows large.
@@ -96,14 +96,15 @@ class Model:
             starts = np.flatnonzero(np.diff(r, prepend=-1))
             at = r[starts]
             v = self.v[b]
-            linear[at] += np.add.reduceat(self.w[b], starts)
-            total[at] += np.add.reduceat(v, starts, axis=0)
-            squares[at] += np.add.reduceat((v * v).sum(1), starts)
+            linear[at] += np.add.reduceat(self.w[b], starts, dtype=np.float64)
+            total[at] += np.add.reduceat(v, starts, axis=0, dtype=np.float64)
+            squares[at] += np.add.reduceat((v * v).sum(1), starts, dtype=np.float64)
         linear, total, squares = linear * x, total * x[:, None], squares * x * x
         linear += z @ self.w[n:]
         total += z @ self.v[n:]
         squares += (z * z) @ (self.v[n:] ** 2).sum(1)
-        return 1 / (1 + np.exp(-np.clip(self.w0 + linear + 0.5 * ((total**2).sum(1) - squares), -30, 30)))
+        # Sums are in double precision and rounded, so that equal texts have equal scores whatever stands beside them.
+        return np.round(1 / (1 + np.exp(-np.clip(self.w0 + linear + 0.5 * ((total**2).sum(1) - squares), -30, 30))), 9)
 
 
 def fit(stats: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Model:
