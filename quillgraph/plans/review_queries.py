@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators import evidence, ontology, workbench
+from quillgraph.operators import evidence, evidence_graph, ontology, workbench
 from quillgraph.plans.registry import Inputs, query
 
 _CATEGORIES = ["entity_event", "ENTITY_CLAIM", "ENTITY_POLICY", "ENTITY_DOCUMENT", "ENTITY_PERSON", "ENTITY_TEXT_SPAN", "ARTIFACT_EMAIL"]
@@ -255,3 +255,50 @@ def facet_filters(p: Inputs) -> DataFrame:
     app = ids.select("filter_id", (F.col("filter_id") != "SMALL").alias("included"))
     groups = ids.select(F.when(F.col("filter_id") < "M", "g1").otherwise("g2").alias("group_id"), "filter_id")
     return workbench.resolved_filters(common, supported, app, groups, ["Brand#3", "Brand#2", "Brand#1"])
+
+
+def _evidence_graph(p: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as artifacts of their nation, orders as anchors, line items as mentions and witnesses of slots, parts as snapshots."""
+    s = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    artifacts = p.customer.select(s("a", "c_custkey").alias("artifact_id"), s("n", "c_nationkey").alias("collection"))
+    anchors = p.orders.select(s("o", "o_orderkey").alias("anchor_id"), s("a", "o_custkey").alias("artifact_id"))
+    lines = p.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("kg_id"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_quantity").alias("l_quantity"))
+    lines = lines.withColumns({"id": F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber"), "anchor_id": s("o", "l_orderkey")})
+    mentions = lines.select(F.col("id").alias("mention_id"), "anchor_id", s("part ", "kg_id").alias("surface"), F.when(F.col("kg_id") % 3 == 0, F.col("kg_id")).alias("kg_id"))
+    witnesses = lines.where("l_suppkey % 10 = 0").select(F.concat(F.lit("w"), "id").alias("witness_id"), s("s", "l_suppkey").alias("slot_id"), F.lit("v").alias("var_name"), F.lit("said").alias("surface"), "anchor_id", F.col("id").alias("mention_id"), F.col("l_quantity").alias("score"))
+    snapshots = p.part.where("p_partkey % 6 = 0").select(F.col("p_partkey").alias("kg_id"))
+    frames = p.orders.select(s("f", "o_custkey").alias("frame_id"), s("o", "o_orderkey").alias("member_id"))
+    slots = p.supplier.where("s_suppkey % 10 = 0").select(s("s", "s_suppkey").alias("slot_id"), F.when(F.col("s_suppkey") % 20 == 0, "GROUNDED").otherwise("AMBIGUOUS").alias("quality"), F.when(F.col("s_suppkey") % 30 == 0, 0.0).otherwise(0.5).alias("confidence"))
+    relations = p.supplier.select(s("s", "s_suppkey").alias("from_slot"), F.concat(F.lit("s"), (F.col("s_suppkey") + 20).cast("string")).alias("to_slot"))
+    return evidence_graph.built("q", artifacts, anchors, mentions, witnesses, snapshots, frames, slots, relations)
+
+
+_EG = """WITH art AS (SELECT 'a' || CAST(c_custkey AS STRING) AS id, c_nationkey AS coll FROM customer), anc AS (SELECT 'o' || CAST(o_orderkey AS STRING) AS id, 'a' || CAST(o_custkey AS STRING) AS art, 'f' || CAST(o_custkey AS STRING) AS frame FROM orders),
+l AS (SELECT l_orderkey, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+@query(
+    _EG
+    + """, w AS (SELECT DISTINCT l_suppkey, l_orderkey FROM l WHERE l_suppkey % 10 = 0), sl AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 0 AND NOT (s_suppkey % 20 <> 0 AND s_suppkey % 30 = 0)),
+       n AS (SELECT 'artifact' AS kind, count(*) AS n FROM art UNION ALL SELECT 'anchor', count(*) FROM anc UNION ALL SELECT 'mention', count(*) FROM l UNION ALL SELECT 'witness', count(*) FROM w UNION ALL SELECT 'snapshot', count(*) FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT 'frame', count(DISTINCT frame) FROM anc)
+       SELECT kind, n FROM (SELECT * FROM n UNION ALL SELECT 'factor', sum(n) FROM n UNION ALL SELECT 'claim', count(*) FROM sl UNION ALL SELECT 'inference', count(*) FROM sl x JOIN sl y ON y.s_suppkey = x.s_suppkey + 20 UNION ALL SELECT 'root', 2 UNION ALL SELECT 'agent', 1) WHERE n > 0"""
+)
+def evidence_graph_nodes(p: Inputs) -> DataFrame:
+    """GR-13, GR-14: nodes of the evidence graph by kind."""
+    return _evidence_graph(p)[0].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    _EG
+    + """, w AS (SELECT DISTINCT l_suppkey, l_orderkey FROM l WHERE l_suppkey % 10 = 0), sl AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 0 AND NOT (s_suppkey % 20 <> 0 AND s_suppkey % 30 = 0)),
+       inf AS (SELECT x.s_suppkey FROM sl x JOIN sl y ON y.s_suppkey = x.s_suppkey + 20), e AS (SELECT (SELECT count(*) FROM art) + (SELECT count(*) FROM anc) + (SELECT count(*) FROM l) + (SELECT count(*) FROM w) + (SELECT count(*) FROM part WHERE p_partkey % 6 = 0) + (SELECT count(DISTINCT frame) FROM anc) AS n),
+       a1 AS (SELECT count(*) AS n FROM anc JOIN art ON art.id = anc.art), c AS (SELECT count(*) - count(DISTINCT l_partkey) AS n FROM l), i AS (SELECT count(*) - count(DISTINCT coll) AS n FROM art), lo AS (SELECT count(*) AS n FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+       wo AS (SELECT count(*) AS n FROM w WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), ls AS (SELECT count(*) AS n FROM l WHERE l_partkey % 6 = 0 AND l_partkey IN (SELECT p_partkey FROM part))
+       SELECT rel_type, n FROM (SELECT 'DERIVES_FROM' AS rel_type, (SELECT n FROM a1) + (SELECT n FROM lo) + (SELECT n FROM wo) + (SELECT count(*) FROM w) + (SELECT count(*) FROM anc) + (SELECT n FROM ls) AS n
+       UNION ALL SELECT 'CORROBORATES', n FROM c UNION ALL SELECT 'IDENTICAL_TO', n FROM i UNION ALL SELECT 'CONTAINS_NODE', n FROM e UNION ALL SELECT 'CREATED_BY', n FROM e UNION ALL SELECT 'HAS_RELIABILITY_FACTOR', n FROM e
+       UNION ALL SELECT 'CONTAINS_CLAIM', count(*) FROM sl UNION ALL SELECT 'ASSERTED_BY', count(*) FROM sl UNION ALL SELECT 'GROUNDED_BY', count(*) FROM w WHERE l_suppkey IN (SELECT s_suppkey FROM sl)
+       UNION ALL SELECT unnest(['CONTAINS_INFERENCE', 'HAS_PREMISE', 'HAS_CONCLUSION', 'PERFORMED_BY']), (SELECT count(*) FROM inf)) WHERE n > 0"""
+)
+def evidence_graph_edges(p: Inputs) -> DataFrame:
+    """GR-13: edges of the evidence graph by type."""
+    return _evidence_graph(p)[1].groupBy("rel_type").agg(F.count("*").alias("n"))
