@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import blank
 
+# Names of months, in full and as three letters.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 SHORT = [m[:3] for m in MONTHS]
 _NAMES = "|".join(m.capitalize() for m in MONTHS)

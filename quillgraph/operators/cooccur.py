@@ -1,7 +1,7 @@
 """Co-occurrence and same-attribute pairs.
 
-Pairs are made within a group (document, message, order), which holds few members; ``most`` refuses groups that would grow with the square of
-the data instead of dropping members of them silently.
+Pairs are made within a group (document, message, order), which holds few members; a group's pairs are as many as the square of its size, as
+the result holds them all.
 """
 
 from __future__ import annotations

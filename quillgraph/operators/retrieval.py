@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,12 +56,16 @@ def has_label(docs: DataFrame, pages: DataFrame, key: str, label: str, wanted: l
     return docs.join(pages.where(F.lower(label).isin([w.lower() for w in wanted])).select(key).distinct(), key, "left_semi")
 
 
+def _as_token(term: str) -> str:
+    """Pattern of a term that stands as a token in lower-case text: counting matches needs no array of all tokens."""
+    return f"(?<![a-z0-9]){term}(?![a-z0-9])" if re.fullmatch("[a-z0-9]+", term) else "(?!)"
+
+
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str]) -> DataFrame:
     """key, score: BM25 of each field times its boost, summed.  Term counts are made per row, so only one row per document and field is ever moved."""
     q = sorted({x.lower() for x in terms})
-    rows = docs.select(key, *[F.regexp_extract_all(F.lower(t.blank(F.col(f))), F.lit("[a-z0-9]+"), 0).alias(f) for f in fields])
-    times = lambda f, w: F.size(F.filter(f, lambda x: x == F.lit(w)))
-    counted = rows.select(key, *[F.size(f).alias(f"{f}_n") for f in fields], *[times(f, w).alias(f"{f}_{i}") for f in fields for i, w in enumerate(q)])
+    rows = docs.select(key, *[F.lower(t.blank(F.col(f))).alias(f) for f in fields])
+    counted = rows.select(key, *[F.regexp_count(F.col(f), F.lit("[a-z0-9]+")).alias(f"{f}_n") for f in fields], *[F.regexp_count(F.col(f), F.lit(_as_token(w))).alias(f"{f}_{i}") for f in fields for i, w in enumerate(q)])
     # Texts are tokenised once: statistics and scores both read the counts.
     counted = checkpointed(counted)
     stats = counted.agg(F.count("*").alias("docs"), *[F.avg(f"{f}_n").alias(f"{f}_avg") for f in fields], *[F.sum((F.col(f"{f}_{i}") > 0).cast("int")).alias(f"{f}_df{i}") for f in fields for i in range(len(q))])
@@ -77,9 +82,9 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str])
 
 def term_hits(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """key, score: how many of the terms stand in a text as tokens."""
-    have = t.tokens(F.col(text))
-    score = sum((F.array_contains(have, x.lower()).cast("int") for x in terms), F.lit(0))
-    return docs.select(key, score.cast("double").alias("score")).where("score > 0")
+    low = docs.select(key, F.lower(t.blank(F.col(text))).alias("_low"))
+    score = sum((F.col("_low").rlike(_as_token(x.lower())).cast("int") for x in terms), F.lit(0))
+    return low.select(key, score.cast("double").alias("score")).where("score > 0")
 
 
 def ranked(scored: DataFrame, key: str, top: int) -> DataFrame:
@@ -124,7 +129,9 @@ def linear_fusion(lexical: DataFrame, semantic: DataFrame, key: str, alpha: floa
 
 def relevance(candidates: DataFrame, hard: list[list[str]], topic: list[str], focus: list[str], families: list[str], first_year: int | None = None, last_year: int | None = None, drift_groups: list[tuple[list[str], int]] | None = None, required: list[list[str]] | None = None) -> DataFrame:
     """Candidates (text, family, date) with the parts and the total of their relevance to an intent."""
-    have, norm = t.tokens(F.col("text")), t.phrase(F.col("text"))
+    # Made once, in a projection of their own, as every part reads them.
+    candidates = candidates.withColumns({"_have": t.tokens(F.col("text")), "_norm": t.phrase(F.col("text"))})
+    have, norm = F.col("_have"), F.col("_norm")
     lit = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     out = candidates.withColumns({
         "hard": scores.group_coverage(norm, hard), "required": scores.group_coverage(norm, required or []), "topic": scores.token_coverage(have, lit(topic)), "focus": scores.token_coverage(have, lit(focus)),
@@ -136,7 +143,7 @@ def relevance(candidates: DataFrame, hard: list[list[str]], topic: list[str], fo
     missing = F.when(no_hard, 2.0).otherwise(0.0)
     missing = F.greatest(missing, F.when(has_text & F.lit(bool(required)) & (F.col("required") <= 0.01), 2.5).otherwise(0.0))
     out = out.withColumns({"missing": missing, "generic": F.when(no_hard & (F.col("topic") < 0.18), 0.75).otherwise(0.0)})
-    return out.withColumn("total", scores.relevance_total(*[F.col(c) for c in ("hard", "topic", "focus", "time_score", "family_score", "missing", "generic", "drift")]))
+    return out.withColumn("total", scores.relevance_total(*[F.col(c) for c in ("hard", "topic", "focus", "time_score", "family_score", "missing", "generic", "drift")])).drop("_have", "_norm")
 
 
 def rejections(least_total: float = 0.0, most_drift: float = 1.0) -> Column:

@@ -240,7 +240,7 @@ def tether_completeness(p: Inputs) -> DataFrame:
 
 @query(
     """, r AS (SELECT claim_uid, CAST(sum(CAST(CASE WHEN quality = 'AMBIGUOUS' THEN 0.5 ELSE reliability_score END AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS reliability FROM witnesses GROUP BY 1)
-       SELECT claim_uid, round(reliability, 9) AS reliability, CASE WHEN reliability >= 0.8 THEN round(least(confidence * 1.0, 1.0), 4) ELSE round(confidence, 9) END AS confidence FROM claims LEFT JOIN r USING (claim_uid)""",
+       SELECT claim_uid, CAST(round(CAST(reliability AS DECIMAL(28,15)), 9) AS DOUBLE) AS reliability, CASE WHEN reliability >= 0.8 THEN round(least(confidence * 1.0, 1.0), 4) ELSE round(confidence, 9) END AS confidence FROM claims LEFT JOIN r USING (claim_uid)""",
     ("witnesses", "claims"),
 )
 def claim_reliability(p: Inputs) -> DataFrame:
