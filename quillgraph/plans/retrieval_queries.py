@@ -174,14 +174,30 @@ def greedy_selection(p: Inputs) -> DataFrame:
     return selection.cover(c, 12, ["fr", "de"])
 
 
-@query()
+@query(
+    """WITH RECURSIVE b AS (SELECT DISTINCT s_nationkey AS id, CAST(floor(s_acctbal / 1000) AS STRING) AS node FROM supplier), m AS (SELECT s_nationkey AS id, avg(s_acctbal) AS score FROM supplier GROUP BY 1),
+g AS (SELECT id, any_value(score) AS score, list(node) AS nodes FROM m JOIN b USING (id) GROUP BY id), r AS (SELECT min(score) AS low, CASE WHEN max(score) > min(score) THEN max(score) - min(score) ELSE 1.0 END AS width FROM g),
+pick(step, ids, seen, id, novelty) AS (
+  SELECT 0, []::INTEGER[], []::VARCHAR[], NULL::INTEGER, 0::DOUBLE
+  UNION ALL
+  SELECT step + 1, list_append(ids, x.id), list_concat(seen, x.nodes), x.id, x.novelty FROM (
+    SELECT step, ids, seen, arg_max({'id': id, 'nodes': nodes, 'novelty': novelty}, (0.7::DOUBLE * (score - low) / width + 0.3::DOUBLE * novelty, score, -id)) AS x FROM (
+      SELECT p.step, p.ids, p.seen, g.id, g.nodes, g.score, r.low, r.width, len(list_filter(g.nodes, lambda n: NOT list_contains(p.seen, n))) / len(g.nodes)::DOUBLE AS novelty FROM pick p JOIN g ON NOT list_contains(p.ids, g.id) JOIN r ON TRUE)
+    GROUP BY step, ids, seen))
+SELECT id AS subgraph_id, CAST(step AS BIGINT) AS step, round(novelty, 3) AS novelty FROM pick WHERE step > 0"""
+)
 def mmr_rerank(p: Inputs) -> DataFrame:
     """TOP-05: nations as subgraphs of their suppliers' balance bands, by score and novelty."""
     g = p.supplier.groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("score"), F.array_sort(F.collect_set(F.floor(F.col("s_acctbal") / 1000).cast("string"))).alias("nodes"))
     return selection.diverse(g.withColumnRenamed("s_nationkey", "subgraph_id"))
 
 
-@query()
+@query(
+    r""", c AS (SELECT doc_id, lang, n_chars, list_filter(regexp_split_to_array(lower(concat_ws(' ', split_part(text, chr(10), 1), source, lang)), '[\s;,]+'), lambda x: length(x) >= 3) AS w FROM lower_docs),
+       t AS (SELECT w FROM c WHERE lang = 'es' ORDER BY doc_id LIMIT 3), k AS (SELECT DISTINCT unnest(w) AS tok FROM t), x AS (SELECT doc_id, lang, n_chars, unnest(w) AS tok FROM c WHERE lang <> 'es')
+       SELECT doc_id AS artifact_id FROM (SELECT DISTINCT doc_id, n_chars FROM x JOIN k USING (tok)) ORDER BY n_chars DESC, doc_id LIMIT 3""",
+    ("lower_docs",),
+)
 def constructibility_repair(p: Inputs) -> DataFrame:
     """TOP-06: artifacts that would tie a choice of one family to another by a shared token."""
     c = p.lower_docs.select(F.col("doc_id").alias("artifact_id"), F.col("lang").alias("family"), F.col("source").alias("collection"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("n_chars").cast("double").alias("fused"))
