@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators import evidence, evidence_graph, ontology, workbench
+from quillgraph.operators import evidence, evidence_graph, ontology, slots, workbench
 from quillgraph.plans.registry import Inputs, query
 
 _CATEGORIES = ["entity_event", "ENTITY_CLAIM", "ENTITY_POLICY", "ENTITY_DOCUMENT", "ENTITY_PERSON", "ENTITY_TEXT_SPAN", "ARTIFACT_EMAIL"]
@@ -302,3 +302,76 @@ def evidence_graph_nodes(p: Inputs) -> DataFrame:
 def evidence_graph_edges(p: Inputs) -> DataFrame:
     """GR-13: edges of the evidence graph by type."""
     return _evidence_graph(p)[1].groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT c_custkey, 'i' || CAST(c_custkey AS STRING) AS intent_id, CASE WHEN c_custkey % 2 = 0 THEN 'STRICT' ELSE 'PREFER' END AS mode, CASE WHEN c_custkey % 3 = 0 THEN 40 ELSE 250 END AS top_k, 'America/Los_Angeles' AS timezone, 10 AS alternatives, 2 AS n_slots,
+         CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE '' END AS target, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE 0.9 END AS confidence FROM customer WHERE c_custkey % 7 <> 0"""
+)
+def typed_intents(p: Inputs) -> DataFrame:
+    """INT-05, SRC-13: intents out of JSON bundles, with their defaults."""
+    k = F.col("c_custkey")
+    parts = F.concat(
+        F.lit('```json\n{"Header": {'), F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit('"intent_id": "i'), k.cast("string"), F.lit('", "question_text": "q"'))), F.lit('}, "EntityHints": [{"surface": "x"'), F.when(k % 5 == 0, "").otherwise(', "confidence": 0.9'), F.lit("}], "),
+        F.when(k % 2 == 0, '"ScopeSpec": {"mode": "STRICT"}, ').otherwise(""), F.when(k % 3 == 0, '"RetrievalSpec": {"top_k_lex": 40}, ').otherwise(""), F.lit('"SlotSpec": {"slots": [{"slot_id": "s1", "slot_type": "WHO"'), F.when(k % 2 == 0, ', "target_graph_var": "A"').otherwise(""), F.lit('}, {"slot_id": "s2", "slot_type": "WHAT"},]}}\n```'),
+    )
+    i = slots.typed_intent(p.customer.select("c_custkey", parts.alias("raw")), "raw").where("intent IS NOT NULL")
+    return i.select("c_custkey", "intent.header.intent_id", F.col("intent.scope.mode").alias("mode"), F.col("intent.retrieval.top_k_lex").alias("top_k"), F.col("intent.scope.timezone").alias("timezone"), F.col("intent.top_k_alternatives").alias("alternatives"), F.size("intent.slots").alias("n_slots"), F.get("intent.slots", F.lit(0))["target_var"].alias("target"), F.get("intent.hints", F.lit(0))["confidence"].alias("confidence"))
+
+
+@query(
+    """WITH s AS (SELECT c_custkey AS slot_id, CASE c_custkey % 3 WHEN 0 THEN 'WHO' WHEN 1 THEN 'WHAT' ELSE 'HOW' END AS slot_type, CASE WHEN c_custkey % 5 = 0 THEN 'P' ELSE '' END AS target, CASE WHEN c_custkey % 7 = 0 THEN 'CL' WHEN c_custkey % 7 = 1 THEN 'author schema' ELSE '' END AS sch, CASE WHEN c_custkey % 4 = 0 THEN 'the claim of a person' ELSE '' END AS descr FROM customer),
+       v(var, type, role, hard) AS (VALUES ('P', 'ENTITY_PERSON', 'author', TRUE), ('CL', 'ENTITY_CLAIM', 'claim', FALSE), ('E', 'ENTITY_EVENT', '', FALSE), ('L', 'ENTITY_LEGAL', 'rule', TRUE)),
+       x AS (SELECT *, 2.0 * CASE WHEN sch = 'author schema' AND var = 'P' THEN 1 WHEN sch = 'CL' AND var = 'CL' THEN 1 ELSE 0 END + CASE WHEN (slot_type = 'WHO' AND var = 'P') OR (slot_type = 'WHAT' AND var IN ('CL', 'E', 'L')) THEN 4.0 ELSE 0 END + CASE WHEN slot_type = 'WHO' AND role = 'author' THEN 2.5 ELSE 0 END
+              + 1.5 * CASE WHEN descr = '' THEN 0 WHEN var = 'P' THEN 1 WHEN var = 'CL' THEN 1 ELSE 0 END + CASE WHEN hard THEN 0.25 ELSE 0 END AS score, CASE WHEN target = var THEN 0 WHEN sch = var THEN 1 ELSE 2 END AS how FROM s, v),
+       y AS (SELECT *, min(how) OVER (PARTITION BY slot_id) AS best FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY score DESC, var) AS i, max(score) OVER (PARTITION BY slot_id) AS top FROM y WHERE how = best AND (how < 2 OR score > 0))
+       SELECT slot_id, var, CAST(score AS DOUBLE) AS score FROM z WHERE how < 2 OR (i <= 5 AND score >= greatest(1.0, top - 1.5))"""
+)
+def slot_variables(p: Inputs) -> DataFrame:
+    """SLT-05: the variables that a slot is about."""
+    k = F.col("c_custkey")
+    s = p.customer.select(k.alias("slot_id"), F.when(k % 3 == 0, "WHO").when(k % 3 == 1, "WHAT").otherwise("HOW").alias("slot_type"), F.when(k % 5 == 0, "P").otherwise("").alias("target_var"), F.when(k % 7 == 0, "CL").when(k % 7 == 1, "author schema").otherwise("").alias("target_schema_id"), F.when(k % 4 == 0, "the claim of a person").otherwise("").alias("description"), F.lit(1).alias("intent_id"))
+    v = p.spark.createDataFrame([(1, "P", "ENTITY_PERSON", "author", "person", True), (1, "CL", "ENTITY_CLAIM", "claim", "", False), (1, "E", "ENTITY_EVENT", "", "", False), (1, "L", "ENTITY_LEGAL", "rule", "", True)], "intent_id int, var string, type string, role string, hint string, hard boolean")
+    takes = p.spark.createDataFrame([("WHO", "ENTITY_PERSON"), ("WHAT", "ENTITY_CLAIM"), ("WHAT", "ENTITY_EVENT")], "slot_type string, category string")
+    return slots.slot_variables(s, v, takes, ontology.index(p.spark, ontology.HIERARCHY, None, "parent", "child"), p.spark.createDataFrame([("WHO", "author")], "slot_type string, keyword string"))
+
+
+_BONUS = ", ".join([f"('{s}', 'e', '{e}', 100)" for s, (es, _) in slots.PREFERRED.items() for e in es] + [f"('{s}', 'v', '{v}', {round(w * 100)})" for s, (_, vs) in slots.PREFERRED.items() for v, w in vs.items()])
+
+
+@query(
+    f"""WITH s AS (SELECT n_nationkey AS slot_id, CASE n_nationkey % 5 WHEN 0 THEN 'EVIDENCE' WHEN 1 THEN 'HOW' WHEN 2 THEN 'WHO' WHEN 3 THEN 'WHAT' ELSE 'OUTCOME' END AS slot_type FROM nation), g AS (SELECT s_suppkey AS subgraph_id, s_suppkey % 4 / 4 AS hard, s_acctbal AS score FROM supplier),
+        names(i, v) AS (VALUES (0, 'A'), (1, 'CL'), (2, 'C'), (3, 'RESP'), (4, 'P')), bound AS (SELECT s_suppkey AS subgraph_id, v FROM supplier JOIN names ON s_suppkey % 5 = i OR s_suppkey % 7 = i), held AS (SELECT s_suppkey AS subgraph_id, CASE s_suppkey % 4 WHEN 0 THEN 'CL-[ABOUT]->C' WHEN 1 THEN 'A-[SUPPORTS]->CL' WHEN 2 THEN 'RESP-[RESULTED_IN]->CL' ELSE 'x' END AS e FROM supplier),
+        rel AS (SELECT n_nationkey AS slot_id, CASE WHEN n_nationkey % 2 = 0 THEN 'CL' ELSE 'P' END AS v FROM nation), bonus(slot_type, kind, name, w) AS (VALUES {_BONUS}),
+        parts AS (SELECT slot_id, subgraph_id, 100 AS w FROM rel JOIN (SELECT DISTINCT * FROM bound) USING (v) UNION ALL SELECT slot_id, subgraph_id, w FROM s JOIN bonus USING (slot_type) JOIN held ON kind = 'e' AND e = name UNION ALL SELECT slot_id, subgraph_id, w FROM s JOIN bonus USING (slot_type) JOIN (SELECT DISTINCT * FROM bound) b ON kind = 'v' AND v = name),
+        f AS (SELECT slot_id, subgraph_id, sum(w) / 100 AS fit FROM parts GROUP BY 1, 2)
+        SELECT slot_id, subgraph_id, CAST(fit AS DOUBLE) AS score, row_number() OVER (PARTITION BY slot_id ORDER BY fit DESC, hard DESC, score DESC, subgraph_id) AS rank FROM f JOIN g USING (subgraph_id)"""
+)
+def subgraphs_for_slots(p: Inputs) -> DataFrame:
+    """SLT-06: subgraphs ranked for each slot."""
+    n, k = F.col("n_nationkey"), F.col("s_suppkey")
+    s = p.nation.select(n.alias("slot_id"), F.when(n % 5 == 0, "evidence").when(n % 5 == 1, "HOW").when(n % 5 == 2, "WHO").when(n % 5 == 3, "WHAT").otherwise("OUTCOME").alias("slot_type"))
+    names = F.array(*map(F.lit, ["A", "CL", "C", "RESP", "P"]))
+    bound = p.supplier.select(k.alias("subgraph_id"), F.explode(F.array_compact(F.array(F.get(names, (k % 5).cast("int")), F.get(names, (k % 7).cast("int"))))).alias("var"))
+    held = p.supplier.select(k.alias("subgraph_id"), F.when(k % 4 == 0, "CL-[ABOUT]->C").when(k % 4 == 1, "A-[SUPPORTS]->CL").when(k % 4 == 2, "RESP-[RESULTED_IN]->CL").otherwise("x").alias("edge"))
+    g = p.supplier.select(k.alias("subgraph_id"), (k % 4 / 4).alias("hard_coverage"), F.col("s_acctbal").alias("score"))
+    return slots.ranked_for_slots(s, p.nation.select(n.alias("slot_id"), F.when(n % 2 == 0, "CL").otherwise("P").alias("var")), g, bound, held)
+
+
+@query(
+    """SELECT o_custkey AS group_id, o_orderkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY day NULLS LAST, a, o_orderkey) AS step FROM (
+         SELECT *, row_number() OVER (PARTITION BY o_custkey, a, day ORDER BY o_totalprice DESC, o_orderkey) AS i FROM (SELECT *, o_orderkey % 3 AS a, CASE WHEN o_orderkey % 4 > 0 THEN date_trunc('month', o_orderdate) END AS day FROM orders)) WHERE i = 1"""
+)
+def evidence_chronology(p: Inputs) -> DataFrame:
+    """SLT-14: a frame's evidence in order of time."""
+    e = p.orders.select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("item_id"), (F.col("o_orderkey") % 3).alias("artifact_id"), F.when(F.col("o_orderkey") % 4 > 0, F.trunc("o_orderdate", "month")).alias("day"), F.col("o_totalprice").alias("score"))
+    return slots.chronology(e)
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 ELSE 0.0 END AS confidence, CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 12 WHEN 2 THEN NULL ELSE 7 END AS page FROM events")
+def normalised_payloads(p: Inputs) -> DataFrame:
+    """MSC-19: confidences and page numbers of labels as they come."""
+    k = F.col("event_id")
+    said = F.when(k % 5 == 0, "75").when(k % 5 == 1, " 0.5").when(k % 5 == 2, "1000").when(k % 5 == 3, "-3").otherwise("high")
+    fields = F.when(k % 4 == 0, F.create_map(F.lit("page"), F.lit(" 3 "))).when(k % 4 == 1, F.create_map(F.lit("page"), F.lit("none"), F.lit("index"), F.lit("12"))).when(k % 4 == 2, F.create_map(F.lit("page"), F.lit("0"))).otherwise(F.create_map(F.lit("index"), F.lit("7")))
+    return p.events.select("event_id", slots.confidence01(said).alias("confidence"), slots.page_index(fields, ["page", "index"]).alias("page"))
