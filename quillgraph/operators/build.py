@@ -86,9 +86,11 @@ def mention_edges(rows: DataFrame, pages: DataFrame) -> DataFrame:
     linked = rows.join(known, (rows["document_id"] == known["document_id"]) & (rows["page_number"] == known["page"]), "left").drop(known["document_id"])
     linked = linked.join(zero, "document_id", "left").withColumn("src", F.coalesce("page_id", "zero_id")).where("src IS NOT NULL")
     linked = linked.withColumn("rel_type", mention_relation(F.get("labels", F.lit(0))))
-    ordered = linked.groupBy("src", F.col("kg_id").alias("dst"), "rel_type").agg(F.array_sort(F.collect_list(F.struct("ingest_seq", F.trim(F.coalesce("witness", F.lit(""))).alias("w")))).alias("x"))
+    # A witness that comes again adds nothing to the text, so each is gathered once.
+    once = linked.groupBy("src", F.col("kg_id").alias("dst"), "rel_type", F.trim(F.coalesce("witness", F.lit(""))).alias("w")).agg(F.min("ingest_seq").alias("ingest_seq"), F.count("*").alias("n"))
+    ordered = once.groupBy("src", "dst", "rel_type").agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "w"))).alias("x"), F.sum("n").alias("n_mentions"))
     merged = F.aggregate("x", F.lit(""), lambda acc, s: F.when((s["w"] == "") | F.contains(acc, s["w"]), acc).when(acc == "", s["w"]).otherwise(F.concat(acc, F.lit(" | "), s["w"])))
-    return ordered.select("src", "dst", "rel_type", merged.alias("witness"), F.size("x").alias("n_mentions"))
+    return ordered.select("src", "dst", "rel_type", merged.alias("witness"), F.col("n_mentions").cast("int").alias("n_mentions"))
 
 
 def resolve_endpoints(queries: DataFrame, rows: DataFrame) -> DataFrame:
