@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators import evidence, evidence_graph, ontology, slots, workbench
+from quillgraph.operators import collect, evidence, evidence_graph, ontology, slots, workbench
 from quillgraph.plans.registry import Inputs, query
 
 _CATEGORIES = ["entity_event", "ENTITY_CLAIM", "ENTITY_POLICY", "ENTITY_DOCUMENT", "ENTITY_PERSON", "ENTITY_TEXT_SPAN", "ARTIFACT_EMAIL"]
@@ -375,3 +375,43 @@ def normalised_payloads(p: Inputs) -> DataFrame:
     said = F.when(k % 5 == 0, "75").when(k % 5 == 1, " 0.5").when(k % 5 == 2, "1000").when(k % 5 == 3, "-3").otherwise("high")
     fields = F.when(k % 4 == 0, F.create_map(F.lit("page"), F.lit(" 3 "))).when(k % 4 == 1, F.create_map(F.lit("page"), F.lit("none"), F.lit("index"), F.lit("12"))).when(k % 4 == 2, F.create_map(F.lit("page"), F.lit("0"))).otherwise(F.create_map(F.lit("index"), F.lit("7")))
     return p.events.select("event_id", slots.confidence01(said).alias("confidence"), slots.page_index(fields, ["page", "index"]).alias("page"))
+
+
+def _records(p: Inputs) -> DataFrame:
+    k = F.col("c_custkey")
+    person = F.struct(F.when(k % 3 == 0, F.concat(F.lit(" P"), (k % 40).cast("string"), F.lit("@X.org"))).alias("email"), F.concat(F.lit("Name "), (k % 25).cast("string")).alias("name"), F.when(k % 5 > 0, F.col("c_mktsegment")).alias("org"))
+    firm = F.struct(F.concat(F.initcap("c_mktsegment"), F.when(k % 2 == 0, " Inc.").otherwise("")).alias("name"))
+    return p.customer.select(k.cast("string").alias("document_id"), k.alias("seq"), F.array(person).alias("people"), F.array(firm, F.struct(F.lit(" ").alias("name"))).alias("firms"))
+
+
+@query(
+    """WITH x AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'p' || CAST(c_custkey % 40 AS STRING) || '@x.org' WHEN c_custkey % 5 > 0 THEN 'name ' || CAST(c_custkey % 25 AS STRING) || '|' || lower(c_mktsegment) END AS key, 'Name ' || CAST(c_custkey % 25 AS STRING) AS name FROM customer)
+       SELECT 'Person' AS label, key, arg_min(name, k) AS name FROM x WHERE key IS NOT NULL GROUP BY key UNION ALL
+       SELECT 'Organization', lower(c_mktsegment), arg_min(c_name_, k) FROM (SELECT c_custkey AS k, c_mktsegment, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || CASE WHEN c_custkey % 2 = 0 THEN ' Inc.' ELSE '' END AS c_name_ FROM customer) GROUP BY 2"""
+)
+def loaded_records(p: Inputs) -> DataFrame:
+    """LEG-01, LEG-02: nodes of nested records by their keys."""
+    sources = [collect.Source("Person", "people", (("email",), ("name", "org")), "name", "MENTIONS_PERSON"), collect.Source("Organization", "firms", (("name",),), "name", "MENTIONS_ORG", "org")]
+    return collect.loaded(_records(p), sources)[0]
+
+
+@query(
+    """SELECT c_custkey AS document_id, CASE WHEN c_custkey % 4 IN (0, 1) THEN 2 ELSE 0 END AS n_entities, CASE WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END AS n_edges, CASE WHEN c_custkey % 4 = 2 THEN 'no JSON' WHEN c_custkey % 4 = 3 THEN 'empty' END AS skipped FROM customer"""
+)
+def collected_summaries(p: Inputs) -> DataFrame:
+    """MSC-17: entities and relations of summaries, and which were skipped."""
+    k = F.col("c_custkey")
+    ents = F.concat(F.lit('"entities": [{"term": "'), "c_name", F.lit('", "category": "X"}, {"term": "y"}, {"term": " "}]'))
+    said = F.when(k % 4 == 0, F.concat(F.lit("{"), ents, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit("Here: {"), ents, F.lit(', "relationships": [{"term_1": "y", "relationship": "r", "term_2": "z"}, {"term_1": "y"}],}'))).when(k % 4 == 2, "sorry").otherwise("{}")
+    return collect.summaries(p.customer.select(k.alias("document_id"), said.alias("raw")), "raw")[2]
+
+
+@query(
+    """SELECT 'label ' || l AS "check", n > 0 AS ok, CAST(n AS STRING) AS detail FROM (SELECT l, (SELECT count(*) FROM supplier WHERE l = 'S') + (SELECT count(*) FROM nation WHERE l = 'N') AS n FROM (VALUES ('S'), ('N'), ('X')) t(l))
+       UNION ALL SELECT 'ids of ' || l, CASE WHEN l = 'S' THEN (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 0) = 0 ELSE TRUE END, CASE WHEN l = 'S' THEN CAST((SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 0) AS STRING) ELSE '0' END FROM (VALUES ('S'), ('N'), ('X')) t(l)
+       UNION ALL SELECT 'path of two edges', TRUE, '1'"""
+)
+def contract_check(p: Inputs) -> DataFrame:
+    """GR-23: labels, ids and paths that a graph must have."""
+    nodes = p.supplier.select(F.lit("S").alias("label"), F.when(F.col("s_suppkey") % 10 > 0, F.col("s_name")).otherwise("").alias("uid")).unionByName(p.nation.select(F.lit("N").alias("label"), F.col("n_name").alias("uid")))
+    return collect.contract(nodes, p.graph_edges, ["S", "N", "X"])
