@@ -2,13 +2,13 @@
 
 Equal vectors are one from the start, with the ``k`` + 1 first of their rows, which are all that can be among the nearest.
 
-Fitting.  All vectors of one length are a node.  A node of more than ``part_rows`` vectors is split: a task takes at most ``sample_rows`` of them
-(those with the smallest hashes), cuts the exact neighbour graph of the sample into balanced parts with few edges between them (up to
-``FANOUT``, following the node's size), and a small network learns from a vector the parts of its neighbours.  How many of the most probable
-parts a query must visit for ``recall`` of its neighbours is measured on sample vectors that the network has not seen.
+Fitting.  All vectors of one length are a node, which is split if it has more than two parts' rows: a task takes at most ``sample_rows`` of them
+(those with the smallest hashes), cuts the exact neighbour graph of the sample into balanced parts with few edges between them (one per
+``part_rows`` vectors, up to ``FANOUT``), and a small network learns from a vector the parts of its neighbours.  How many of the most probable
+parts a query must visit for its share of ``recall`` (its root over the levels) is measured on sample vectors that the network has not seen.
 
-Indexing.  Every vector, sampled or not, goes to its most probable part; parts that are still too large are split again, so parts stay of one
-size and the work follows the number of rows.  Rows meet their network in blocks of a bounded number.
+Indexing.  Every vector, sampled or not, goes to its most probable part.  Parts of more than ``leaf_rows`` vectors are split again in the same
+way, so parts stay bounded at any number of rows.  Rows meet their network in blocks of a bounded number.
 
 Searching.  A query follows its most probable parts down to the last ones.  These are searched in blocks of at most about ``block_rows`` vectors
 and as many queries; a block gives its best by cosine in double precision on the original vectors, and the best of all blocks are ranked.
@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import discard, settled, small, spread_join
 
 SAMPLE_ROWS = 6_000
-PART_ROWS = 256
-FANOUT = 128
+PART_ROWS = 128
+FANOUT = 64
+LEAF_ROWS = 4_096
 MOST_LEVELS = 8
 BLOCK_ROWS = 4_096
 NEIGHBOURS = 10
-RECALL = 0.98
+RECALL = 0.95
 
 
 @dataclass
@@ -236,7 +237,7 @@ def _block(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row that passes ``is_query`` (a condition on vec_id)."""
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     usable = usable.select("vec_id", F.col("v").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
@@ -248,10 +249,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RE
 
     root = distinct.select("key", "v", F.size("v").cast("string").alias("node"))
     now = settled(root.withColumn("query", F.lit(False)).unionByName(root.join(asking.select("key").distinct().hint("merge"), "key", "left_semi").withColumn("query", F.lit(True))), "placed")
-    final = []
-    for _ in range(MOST_LEVELS):
+    final, share = [], recall
+    for level in range(MOST_LEVELS):
         sizes = settled(now.where("NOT query").groupBy("node").agg(F.count("*").alias("n")), "sizes")
-        large = sizes.where((F.col("n") > part_rows) & ~F.col("node").endswith("!"))
+        if level == 0:
+            most = sizes.agg(F.max("n")).first()[0] or 0
+            levels = 1
+            while most > leaf_rows * FANOUT**levels and levels < MOST_LEVELS:
+                levels += 1
+            share = recall ** (1 / levels)
+        large = sizes.where((F.col("n") > (leaf_rows if level else 2 * part_rows)) & ~F.col("node").endswith("!"))
         n_large = large.count()
         if not n_large:
             break
@@ -260,7 +267,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RE
         spot = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
         chosen = split.where(~F.col("query") & (spot < (sample_rows + 7 * sample_rows**0.5 + 50) / F.col("n") * (1 << 40))).withColumn("spot", spot)
         chosen = chosen.withColumn("i", F.row_number().over(W.partitionBy("node").orderBy("spot", "key"))).where(F.col("i") <= sample_rows).select("node", "n", "key", "v")
-        routers = settled(chosen.groupBy("node").applyInPandas(_fitted(recall, part_rows), "node string, router binary"), "routers")
+        routers = settled(chosen.groupBy("node").applyInPandas(_fitted(share, part_rows), "node string, router binary"), "routers")
         blocks = F.ceil(F.col("n") / block_rows).cast("int")
         left = split.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
         right = routers.join(large, "node").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("node", "block", "router")

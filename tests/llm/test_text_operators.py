@@ -492,7 +492,7 @@ def test_neighbours_of_copies_and_of_many_levels(spark):
     got = collections.defaultdict(list)
     old, learned_ann.FANOUT = learned_ann.FANOUT, 4
     try:
-        for r in learned_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, sample_rows=400, part_rows=64, block_rows=50).orderBy("query_id", "rank").collect():
+        for r in learned_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, sample_rows=400, part_rows=64, leaf_rows=100, block_rows=50).orderBy("query_id", "rank").collect():
             got[r.query_id].append(r.vec_id)
     finally:
         learned_ann.FANOUT = old
