@@ -115,12 +115,13 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, step: int, shingles:
     marked = settled(_fingerprints(pieces, ["doc_id", "start", "n"]), "marked")
     # 3. Search by blocks.
     own = enough.where("own = m").select("doc_id", "start", "n", "item_id")
-    near = marked.join(own, ["doc_id", "start", "n"]).select("doc_id", "start", "n", "item_id", "fp", F.explode(_blocks(radius)).alias("b")).select("doc_id", "start", "n", "item_id", "fp", "b.block", "b.bits")
+    near = marked.join(own.hint("merge"), ["doc_id", "start", "n"]).select("doc_id", "start", "n", "item_id", "fp", F.explode(_blocks(radius)).alias("b")).select("doc_id", "start", "n", "item_id", "fp", "b.block", "b.bits")
     known = prints.withColumn("item_fp", F.col("fp")).select("item_id", "item_fp", F.explode(_blocks(radius)).alias("b")).select("item_id", "item_fp", "b.block", "b.bits")
     met = near.join(small(known, n_blocks, MOST_BROADCAST), ["item_id", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("doc_id", "start", "n", "item_id", (F.col("n") - width + 1).alias("own")).distinct()
     met = met.unionByName(enough.where("own < m").select("doc_id", "start", "n", "item_id", "own"))
     # 4. Proof: the weight that both have, over the weight that either has.
-    pairs = met.join(cut, ["doc_id", "start", "n", "own"]).select("doc_id", "start", "m", "own", "item_id", F.explode("hashes").alias("h")).groupBy("doc_id", "start", "m", "own", "item_id", "h").agg(F.count("*").alias("held"))
+    # Both grow with the documents, so they are joined by merge at every size.
+    pairs = met.hint("merge").join(cut, ["doc_id", "start", "n", "own"]).select("doc_id", "start", "m", "own", "item_id", F.explode("hashes").alias("h")).groupBy("doc_id", "start", "m", "own", "item_id", "h").agg(F.count("*").alias("held"))
     both = pairs.join(sized(weighted.select("item_id", "h", "w")), ["item_id", "h"]).groupBy("doc_id", "start", "m", "own", "item_id").agg(F.sum(F.least("held", "w")).alias("both"))
     scored = both.withColumn("similarity", F.col("both") / (F.col("m") + F.col("own") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
     best = F.row_number().over(W.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "start"))
