@@ -15,13 +15,16 @@ PASS, PARTIAL = 0.85, 0.60
 #: Slot, pattern of the question that asks for it.
 SLOTS = [("WHO", r"\bwho\b|\bwhom\b|\bwhose\b"), ("WHEN", r"\bwhen\b|\bwhat (?:year|date)\b|\btimeline\b"), ("HOW", r"\bhow\b"), ("WHY", r"\bwhy\b"), ("OUTCOME", r"\boutcome\b|\bresult"), ("EVIDENCE", r"\bevidence\b|\bdocument"), ("WHAT", r"\bwhat\b|\bwhich\b")]
 
+#: What a question opens with is no part of a name, though it is capitalised.
+OPENING = r"(^|[?;.!])\s*(?:Who|Whom|Whose|What|When|Where|Why|How|Which|Did|Does|Do|Is|Are|Was|Were|Has|Have|Had|Can|Could|Should|Would)\b"
+
 
 def parsed(questions: DataFrame, text: str = "question") -> DataFrame:
     """Questions with type, parts, slots, quoted and capitalised entities, first and last day."""
     q, low = F.col(text), F.lower(F.col(text))
     slots = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(s)) for s, p in SLOTS]))
     parts = F.filter(F.transform(F.split(q, r"\?\s*|;\s*|,?\s+and\s+(?=(?:who|what|when|where|why|how)\b)"), lambda x: F.trim(x)), lambda x: x != "")
-    names = F.regexp_extract_all(q, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"), 1)
+    names = F.regexp_extract_all(F.regexp_replace(q, OPENING, "$1"), F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"), 1)
     quoted = F.regexp_extract_all(q, F.lit(r'"([^"]+)"'), 1)
     first, last = dates.question_range(q)
     kind = F.when(F.size(parts) > 1, "multi").when(low.rlike(r"\bcompare|\bversus\b|\bdiffer"), "comparison").when(low.rlike(r"^\s*(?:did|does|do|is|are|was|were|has|have)\b"), "yes_no").otherwise("factoid")
