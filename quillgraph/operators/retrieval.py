@@ -127,16 +127,17 @@ def linear_fusion(lexical: DataFrame, semantic: DataFrame, key: str, alpha: floa
     return out.select(key, (alpha * F.coalesce("lex", F.lit(0.0)) + (1 - alpha) * F.coalesce("sem", F.lit(0.0))).alias("fused"))
 
 
-def relevance(candidates: DataFrame, hard: list[list[str]], topic: list[str], focus: list[str], families: list[str], first_year: int | None = None, last_year: int | None = None, drift_groups: list[tuple[list[str], int]] | None = None, required: list[list[str]] | None = None) -> DataFrame:
-    """Candidates (text, family, date) with the parts and the total of their relevance to an intent."""
+def relevance(candidates: DataFrame, hard: list[list[str]], topic: list[str], focus: list[str], families: list[str], first_year: int | None = None, last_year: int | None = None, drift_groups: list[tuple[list[str], int]] | None = None, required: list[list[str]] | None = None, text_years: bool = True) -> DataFrame:
+    """Candidates (text, family, date) with the parts and the total of their relevance to an intent; years in the text count beside the date's with ``text_years``."""
     # Made once, in a projection of their own, as every part reads them.
     candidates = candidates.withColumns({"_have": t.tokens(F.col("text")), "_norm": t.phrase(F.col("text"))})
     have, norm = F.col("_have"), F.col("_norm")
+    said = F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"\b((?:19|20)\d{2})\b"), 1), lambda x: x.cast("int")) if text_years else F.array().cast("array<int>")
     lit = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     out = candidates.withColumns({
         "hard": scores.group_coverage(norm, hard), "required": scores.group_coverage(norm, required or []), "topic": scores.token_coverage(have, lit(topic)), "focus": scores.token_coverage(have, lit(focus)),
         "drift": scores.drift(have, lit([*topic, *focus]), drift_groups or []), "family_score": scores.family_score(scores.canonical_family(F.col("family")), lit(families)),
-        "time_score": dates.time_score(F.array_compact(F.array(dates.year(F.col("date")))), F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"\b((?:19|20)\d{2})\b"), 1), lambda x: x.cast("int")), F.lit(first_year).cast("int"), F.lit(last_year).cast("int")),
+        "time_score": dates.time_score(F.array_compact(F.array(dates.year(F.col("date")))), said, F.lit(first_year).cast("int"), F.lit(last_year).cast("int")),
     })
     has_text = F.size(have) > 0
     no_hard = has_text & F.lit(bool(hard)) & (F.col("hard") <= 0.01)
