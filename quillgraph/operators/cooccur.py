@@ -29,11 +29,12 @@ def same_attribute(rows: DataFrame, key: str, attribute: str) -> DataFrame:
     return r.join(r.select("v", F.col("a").alias("b")), "v").where("a < b").select("a", "b", "v")
 
 
-def chained(rows: DataFrame, group: str, key: str, rel_type: str, most: int = 500) -> DataFrame:
-    """src, dst: each member of a group to the next one; linear where pairs would be quadratic; the first ``most`` links of a group."""
+def chained(rows: DataFrame, group: str, key: str, rel_type: str, most: int | None = 500) -> DataFrame:
+    """src, dst: each member of a group to the next one; linear where pairs would be quadratic; the first ``most`` links of a group, all if None."""
     by = W.partitionBy(group).orderBy(key)
     out = rows.select(F.col(group).alias("g"), F.col(key).alias("src"), F.lead(key).over(by).alias("dst"), F.row_number().over(by).alias("i"))
-    return out.where((F.col("i") <= most) & F.col("dst").isNotNull()).select("g", "src", "dst", F.lit(rel_type).alias("rel_type"))
+    out = out if most is None else out.where(F.col("i") <= most)
+    return out.where("dst IS NOT NULL").select("g", "src", "dst", F.lit(rel_type).alias("rel_type"))
 
 
 def next_in_thread(messages: DataFrame, thread: str, order: list[str], key: str) -> DataFrame:

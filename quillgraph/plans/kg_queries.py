@@ -261,7 +261,7 @@ def dup_candidate_pairs(p: Inputs) -> DataFrame:
 def merge_keepers(p: Inputs) -> DataFrame:
     """GR-07, GR-08: groups of merged suppliers (all of a nation, chained) and the one that stays."""
     s = p.supplier.select("s_nationkey", "s_suppkey")
-    pairs = cooccur.chained(s, "s_nationkey", "s_suppkey", "same").select(F.col("src").alias("id1"), F.col("dst").alias("id2"))
+    pairs = cooccur.chained(s, "s_nationkey", "s_suppkey", "same", most=None).select(F.col("src").alias("id1"), F.col("dst").alias("id2"))
     return resolve.keepers(pairs, s.select(F.col("s_suppkey").alias("id"), F.lit(1).alias("degree")))
 
 
