@@ -84,7 +84,8 @@ def sensitivity(inferences: DataFrame, floor: float = ACCEPTANCE_FLOOR) -> DataF
     """uid, margin, band: how far a confidence is above the floor at which an answer is accepted."""
     margin = F.col("confidence") - floor
     band = F.coalesce(*[F.when(margin > least, F.lit(name)) for name, least in SENSITIVITY.items()], F.lit("BELOW_FLOOR"))
-    return inferences.select("uid", F.round(margin, 4).alias("margin"), band.alias("band"))
+    # Rounded as binary numbers are, by their value in ten-thousandths: rounding their decimal text differs where they lie beside a half.
+    return inferences.select("uid", (F.round(margin * 10_000) / 10_000).alias("margin"), band.alias("band"))
 
 
 def tethered(statements: DataFrame, grounds: DataFrame, least: int = 1) -> DataFrame:
