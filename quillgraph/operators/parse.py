@@ -73,18 +73,20 @@ def edge_category(edges: DataFrame, known: DataFrame) -> DataFrame:
     """Edges with category: exact name, else name without case, else the first known term that contains it."""
     exact = known.groupBy(F.col("term").alias("_e")).agg(F.min_by("category", "seq").alias("c1"))
     folded = known.groupBy(F.lower("term").alias("_f")).agg(F.min_by("category", "seq").alias("c2"))
-    out = edges.join(exact, F.col("term_1") == F.col("_e"), "left").join(folded, F.lower("term_1") == F.col("_f"), "left").drop("_e", "_f")
+    # By merge throughout: what is counted of a small file, or exploded from it, is planned as small and would be gathered on the driver.
+    out = edges.join(exact.hint("merge"), F.col("term_1") == F.col("_e"), "left").join(folded.hint("merge"), F.lower("term_1") == F.col("_f"), "left").drop("_e", "_f")
     open_ = out.where("c1 IS NULL AND c2 IS NULL").select("term_1").distinct()
     # Containment has no key, but a term that contains a name holds all its runs of three characters; they meet on the name's rarest one.
     grams = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - size + 1)), lambda i: F.substr(c, i, F.lit(size))))
-    terms = known.select(F.lower("term").alias("term"), "category", "seq").where("term <> ''")
+    # Equal terms are one, by the first of them.
+    terms = known.select(F.lower("term").alias("term"), "category", "seq").where("term <> ''").groupBy("term").agg(F.min_by("category", "seq").alias("category"), F.min("seq").alias("seq"))
     low = F.lower("term_1")
     asked = open_.where(F.length("term_1") > 0).select("term_1", F.explode(F.when(F.length(low) >= 3, grams(low, 3)).when(F.length(low) == 2, F.array(low)).otherwise(F.array(low))).alias("gram"))
     holds = terms.withColumn("gram", F.explode(F.concat(grams(F.col("term"), 1), grams(F.col("term"), 2), grams(F.col("term"), 3))))
     counts = holds.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(counts, "gram", "left").groupBy("term_1").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    third = rarest.join(holds, "gram").where(F.contains(F.col("term"), F.lower("term_1"))).groupBy("term_1").agg(F.min_by("category", "seq").alias("c3"))
-    return out.join(third, "term_1", "left").withColumn("category", F.coalesce("c1", "c2", "c3")).drop("c1", "c2", "c3")
+    rarest = asked.join(counts.hint("merge"), "gram", "left").groupBy("term_1").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    third = rarest.join(holds.hint("merge"), "gram").where(F.contains(F.col("term"), F.lower("term_1"))).groupBy("term_1").agg(F.min_by("category", "seq").alias("c3"))
+    return out.join(third.hint("merge"), "term_1", "left").withColumn("category", F.coalesce("c1", "c2", "c3")).drop("c1", "c2", "c3")
 
 
 #: Steps of a document and the output whose presence, with any content, shows that one is done.
